@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, mixing, quality, sharding
+from . import fingerprints, langid, licenses, mixing, quality, secrets, sharding, toxicity
 from .decontaminate import leaks
 from .neardup import TEXT_KEY, near_duplicates
 
@@ -35,6 +35,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -45,13 +50,26 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontaminate, op2_near_duplicates, op3_language, op4_licenses, op6_quality, op7_shards, op10_mix)
+    every = (
+        op1_decontaminate, op2_near_duplicates, op3_language, op4_licenses, op5_toxicity,
+        op6_quality, op7_shards, op8_fingerprints, op9_secrets, op10_mix,
+    )
     return {f.__name__: f for f in every}
 
 
