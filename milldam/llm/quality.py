@@ -174,7 +174,7 @@ class QualityModel:
         self.doc = logistic_fit(_summary(good, n, at), y)
         return self
 
-    def __call__(self, column: pa.Array) -> dict[str, np.ndarray]:
+    def __call__(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.prior)
         if self.doc is not None:
             for lo, hi, data, ends in blocks(column):
@@ -182,21 +182,27 @@ class QualityModel:
                 good = sigmoid(np.add(*chains(x @ self.w, at, self.t)))
                 score = sigmoid(_summary(good, n, at) @ self.doc)
                 out[lo:hi] = np.where(at[1:] > at[:-1], score, self.prior)
-        return {"score": out}
+        return out
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return QualityModel().fit(labelled_sample(docs, labels, "quality", MODULUS, HELD))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: better), from the whole text alone.
+def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """``docs`` with a score (0 to 1, higher: better) in column ``name``, from the whole text alone.
 
     Texts without lines (null, empty, line feeds only) get the share of good rows in the training
     sample. Rows are scored one by one, so repeats and null ids need no care; without labels of both
     kinds every score is that share, or 0.5 without any. An empty table gives no rows.
     """
-    return with_scores(docs, fitted(docs, labels), {"score": T.DoubleType()})
+    model = fitted(docs, labels)
+    return with_scores(docs, lambda column: {name: model(column)}, {name: T.DoubleType()})
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns."""
+    return scored(docs, labels, "__quality").where("__quality >= 0.5").drop("__quality")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
