@@ -31,7 +31,13 @@ TREES = 2
 ROOTS = 4
 CHILDREN = 2
 DEPTH = 8
+#: Nodes up to this many classes are compared at once; so are larger ones where that takes at most
+#: WORK comparisons, and those that hardly shrink from their parent.
 SMALL = 200
+WORK = 1 << 20
+SHRINK = 0.7
+#: Sides of the blocks in which large nodes are compared.
+BLOCK_OUTSIDE, BLOCK_ALL = 512, 2048
 #: Ids that may be broadcast to pick texts (8 bytes each); beyond it the texts are shuffled instead.
 BROADCAST_IDS = 1_000_000
 TEXT_KEY = "__text_key"
@@ -160,29 +166,155 @@ def _agree(x: str, y: str) -> Column:
 
 
 def _likely(x: str, y: str, percent: int) -> Column:
-    """Whether sizes and sketches allow the similarity; the sketch allows 4.5 standard errors."""
-    s = percent / 100
-    p = s + (1 - s) / 16
-    least = int(POSITIONS * p - 4.5 * (POSITIONS * p * (1 - p)) ** 0.5)
+    """Whether sizes and sketches allow the similarity."""
     n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_agree(x, y) >= least)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_agree(x, y) >= _least(percent))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(cls, text) of the classes in ``wanted`` (cls)."""
+    ids = scratch.save(classes.select("cls", F.col("rep").alias("doc_id")).join(wanted, "cls", "left_semi"), "ids")
+    pick = ids.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        pick = F.broadcast(pick)
+    texts = docs.join(pick, "doc_id", "left_semi").select("text").mapInArrow(_named(k), "cls long, text string")
+    return texts.join(ids.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    ids = scratch.save(classes.select("cls", F.col("rep").alias("doc_id")).join(ids, "cls", "left_semi"), "ids")
-    wanted = ids.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "doc_id", "left_semi").select("text")
-    texts = texts.mapInArrow(_named(k), "cls long, text string").join(ids.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, k, scratch)
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
     held = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long")
     return scratch.save(held, "links")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first ``keys`` columns (int64), of batches in that order."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy() for i in range(keys)]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            key = tuple(c[lo] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _agreeing(sk: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """For each row of sketches, the positions that agree with ``one``."""
+    d = sk ^ one
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return POSITIONS - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
+def _least(percent: int) -> int:
+    """Agreeing positions that a pair at the threshold has but for 4.5 standard errors."""
+    s = percent / 100
+    p = s + (1 - s) / 16
+    return int(POSITIONS * p - 4.5 * (POSITIONS * p * (1 - p)) ** 0.5)
+
+
+def _candidates(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each outside row of a block with the rows it may be linked to (columns as in _blocks)."""
+    col = {n: group.column(n).to_numpy() for n in ("cls", "n_shingles", "label", "outside", "hub")}
+    sk = np.stack([group.column(f"s{j}").to_numpy() for j in range(4)], axis=1).view(np.uint64)
+    mine, all_ = np.flatnonzero(col["outside"] == 1), np.flatnonzero(col["outside"] == 0)
+    n, label, cls = col["n_shingles"][all_], col["label"][all_], col["cls"][all_]
+    hub, sk_all, least = label == col["hub"][all_], sk[all_], _least(percent)
+    for i in mine.tolist():
+        m = col["n_shingles"][i]
+        some = (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (label != col["label"][i]) & (hub | (cls > col["cls"][i]))
+        some = np.flatnonzero(some)
+        some = some[_agreeing(sk_all[some], sk[i]) >= least]
+        if len(some):
+            yield i, all_[some]
+
+
+def _involved(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            rows = set()
+            for i, others in _candidates(group, percent):
+                rows.add(i)
+                rows.update(others.tolist())
+            if rows:
+                yield from group.take(pa.array(sorted(rows))).combine_chunks().to_batches()
+
+    return run
+
+
+def _linked(k: int, percent: int):
+    """Links that join the labels of a block as all its links would: none between what they already join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            cls, label = group.column("cls").to_numpy(), group.column("label").to_numpy()
+            sets = []
+            for _, _, data, ends in blocks(group.column("text")):
+                flat, at = shingle_sets(data, ends, k)
+                sets += [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            size = np.array([len(x) for x in sets])
+            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            bound = np.concatenate([[0], np.cumsum(size)])
+            mark = np.zeros(codes.max() + 1, dtype=np.int64)
+            team = np.unique(label, return_inverse=True)[1]
+            root = np.arange(team.max() + 1)
+            a, b = [], []
+            for i, others in _candidates(group, percent):
+                others = others[root[team[others]] != root[team[i]]]
+                if not len(others):
+                    continue
+                own = codes[bound[i] : bound[i + 1]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[np.concatenate([codes[bound[j] : bound[j + 1]] for j in others])], np.concatenate([[0], np.cumsum(size[others])[:-1]]))
+                mark[own] = 0
+                close = others[100 * both >= percent * (size[i] + size[others] - both)]
+                found, at = np.unique(root[team[close]], return_index=True)
+                for j in at:
+                    a.append(cls[i])
+                    b.append(cls[close[j]])
+                root[np.isin(root, found)] = root[team[i]]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _large_links(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between labels in large nodes (node, cls, sketch, label, hub, n, n_hub): blocks of
+    classes outside the hub against blocks of all. Sketches meet first, and only where they allow a
+    link do texts come to the block, each once."""
+    parts_out = F.ceil((F.col("n") - F.col("n_hub")) / BLOCK_OUTSIDE).cast("long")
+    parts_all = F.ceil(F.col("n") / BLOCK_ALL).cast("long")
+    zero = F.lit(0).cast("long")
+    bx, by = F.pmod(F.xxhash64("cls", F.lit(1)), parts_out), F.pmod(F.xxhash64("cls", F.lit(2)), parts_all)
+    cols = ["node", "bx", "by", "cls", "n_shingles", "s0", "s1", "s2", "s3", "label", "hub", "outside"]
+    out = nodes.where(F.col("label") != F.col("hub")).withColumn("bx", bx)
+    out = out.withColumn("by", F.explode(F.sequence(zero, parts_all - 1))).withColumn("outside", F.lit(1)).select(cols)
+    all_ = nodes.withColumn("by", by)
+    all_ = all_.withColumn("bx", F.explode(F.sequence(zero, parts_out - 1))).withColumn("outside", F.lit(0)).select(cols)
+    keys = ["node", "bx", "by"]
+    dealt = out.unionByName(all_).repartition(*keys).sortWithinPartitions(*keys)
+    part = scratch.save(dealt.mapInArrow(_involved(percent), dealt.schema), "involved")
+    texts = _texts(docs, part.select("cls").distinct(), classes, k, scratch)
+    filled = part.join(texts, "cls").select(*cols, "text").repartition(*keys).sortWithinPartitions(*keys)
+    return scratch.save(filled.mapInArrow(_linked(k, percent), "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of ``docs`` (doc_id, text).
 
@@ -238,24 +370,41 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
 
     # Second sweep: down the trees, where labels still differ.
     marked = classes.join(first.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    state, finals = roots(marked, ["label"]), None
+    state, finals, heavy = roots(marked, ["label"]).withColumn("up", F.lit(1 << 60)), None, None
     for depth in range(1, DEPTH + 1):
         stats = state.groupBy("node").agg(
-            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("cls", "label"))["label"].alias("hub")
+            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
         )
-        mixed = stats.where("lo != hi").select("node", "n", "hub")
+        mixed = stats.where("lo != hi").select("node", "n", F.col("lo").alias("hub"))
         level = scratch.save(state.join(mixed, "node"), f"level{depth}")
-        done = level if depth == DEPTH else level.where(F.col("n") <= SMALL)
+        done = level.where(F.col("n") <= SMALL)
         finals = done if finals is None else finals.unionByName(done)
         large = level.where(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        # In large nodes the hub is the commonest label; only what is outside it is compared with all.
+        votes = large.groupBy("node", "label").count().groupBy("node").agg(F.max(F.struct("count", "label")).alias("top"))
+        large = large.drop("hub").join(votes, "node").withColumn("hub", F.col("top.label")).withColumn("n_hub", F.col("top.count"))
+        last = ((F.col("n") - F.col("n_hub")) * F.col("n") <= WORK) | (F.col("n") >= SHRINK * F.col("up")) | F.lit(depth == DEPTH)
+        large = scratch.save(large.withColumn("last", last).drop("top"), f"large{depth}")
+        ended = large.where("last").drop("last")
+        heavy = ended if heavy is None else heavy.unionByName(ended)
+        large = large.where("not last").withColumn("up", F.col("n")).drop("n", "hub", "n_hub", "last").join(classes.select("cls", "sig"), "cls")
         if depth == DEPTH or large.isEmpty():
             break
-        large = large.drop("n", "hub").join(classes.select("cls", "sig"), "cls")
         pick = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(POSITIONS)).cast("int")
         skip = F.pmod(F.xxhash64("node", F.lit(-depth)), F.lit(POSITIONS - 1)).cast("int") + 1
         places = [F.pmod(pick + skip * c, F.lit(POSITIONS)) for c in range(CHILDREN)]
         children = [F.xxhash64("node", F.lit(depth), p, F.element_at("sig", p + 1)) for p in places]
-        state = large.select(F.explode(F.array(*children)).alias("node"), "cls", *sketch, "label")
+        state = large.select(F.explode(F.array(*children)).alias("node"), "cls", *sketch, "label", "up")
+    # Large nodes first: what they link makes most of the small nodes single-labelled.
+    if heavy is not None:
+        links = links.unionByName(_large_links(docs, heavy, classes, k, percent, scratch))
+        first = components(links, scratch)
+        now = first.select(F.col("id").alias("cls"), F.col("label").alias("now"))
+        finals = finals.drop("hub").join(now, "cls", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+        hubs = finals.groupBy("node").agg(F.min("label").alias("hub"), F.max("label").alias("hi")).where("hub != hi").drop("hi")
+        finals = scratch.save(finals.join(hubs, "node"), "finals")
     outside = finals.where(F.col("label") != F.col("hub")).alias("x")
     pair = outside.join(finals.alias("y"), "node").where(
         (F.col("x.label") != F.col("y.label"))
@@ -264,21 +413,8 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
     )
     fresh = pair.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     fresh = scratch.save(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = _verify(docs, fresh, classes, k, percent, scratch)
-
-    # The components of the first sweep, joined by the links of the second.
-    name = first.select(F.col("id"), F.col("label"))
-    joined = (
-        more.join(name.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
-        .join(name.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-        .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    )
-    second = components(joined, scratch).select(F.col("id").alias("label"), F.col("label").alias("over"))
-    base = first.select(F.col("id").alias("cls"), "label").unionByName(
-        more.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(first.select(F.col("id").alias("cls")), "cls", "left_anti").withColumn("label", F.col("cls"))
-    )
-    labels = base.join(second, "label", "left").select("cls", F.coalesce("over", "label").alias("label"))
-    return labels
+    links = links.unionByName(_verify(docs, fresh, classes, k, percent, scratch))
+    return components(links, scratch).withColumnRenamed("id", "cls")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
