@@ -357,7 +357,7 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
     def roots(table: DataFrame, more: list[str]) -> DataFrame:
         """TREES * ROOTS nodes of every class; each tree has positions of its own at its root."""
         nodes = [F.xxhash64(F.lit(t), F.lit(j), F.col("sig")[t * ROOTS + j]) for t in range(TREES) for j in range(ROOTS)]
-        return table.select(F.explode(F.array(*nodes)).alias("node"), "cls", *sketch, *more)
+        return table.select(F.posexplode(F.array(*nodes)).alias("root", "node"), "cls", *sketch, *more)
 
     # First sweep: every class against the pivot of its root nodes.
     nodes = roots(classes, [])
@@ -396,15 +396,14 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
         skip = F.pmod(F.xxhash64("node", F.lit(-depth)), F.lit(POSITIONS - 1)).cast("int") + 1
         places = [F.pmod(pick + skip * c, F.lit(POSITIONS)) for c in range(CHILDREN)]
         children = [F.xxhash64("node", F.lit(depth), p, F.element_at("sig", p + 1)) for p in places]
-        state = large.select(F.explode(F.array(*children)).alias("node"), "cls", *sketch, "label", "up")
-    # Large nodes first: what they link makes most of the small nodes single-labelled.
+        state = large.select("root", F.explode(F.array(*children)).alias("node"), "cls", *sketch, "label", "up")
+    # Large nodes first, those of one root before all others: what they link leaves most other nodes
+    # with a single label, and those drop out.
     if heavy is not None:
-        links = links.unionByName(_large_links(docs, heavy, classes, k, percent, scratch))
-        first = components(links, scratch)
-        now = first.select(F.col("id").alias("cls"), F.col("label").alias("now"))
-        finals = finals.drop("hub").join(now, "cls", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
-        hubs = finals.groupBy("node").agg(F.min("label").alias("hub"), F.max("label").alias("hi")).where("hub != hi").drop("hi")
-        finals = scratch.save(finals.join(hubs, "node"), "finals")
+        for turn in (F.col("root") == 0, F.col("root") > 0):
+            links = links.unionByName(_large_links(docs, _current(heavy.where(turn), first, scratch), classes, k, percent, scratch))
+            first = components(links, scratch)
+        finals = _current(finals, first, scratch)
     outside = finals.where(F.col("label") != F.col("hub")).alias("x")
     pair = outside.join(finals.alias("y"), "node").where(
         (F.col("x.label") != F.col("y.label"))
@@ -417,6 +416,17 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
     return components(links, scratch).withColumnRenamed("id", "cls")
 
 
+def _current(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """``nodes`` with the labels of now, their size and commonest label; nodes of one label are gone."""
+    now = labels.select(F.col("id").alias("cls"), F.col("label").alias("now"))
+    rows = nodes.select("node", "cls", "n_shingles", "s0", "s1", "s2", "s3", "label").join(now, "cls", "left")
+    rows = rows.withColumn("label", F.coalesce("now", "label")).drop("now")
+    votes = rows.groupBy("node", "label").count().groupBy("node")
+    votes = votes.agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("top"))
+    votes = votes.select("node", "n", F.col("top.label").alias("hub"), F.col("top.count").alias("n_hub")).where("n_hub < n")
+    return scratch.save(rows.join(votes, "node"), "nodes")
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document represents its component, with all their columns.
 
