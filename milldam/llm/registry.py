@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, mixing, quality, secrets, sharding, toxicity
+from . import fingerprints, langid, licenses, mixing, oracle, quality, secrets, sharding, toxicity
 from .decontaminate import leaks
 from .neardup import TEXT_KEY, near_duplicates
 
@@ -32,7 +33,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
-    return licenses.scan(_table(spark, sf_dir, "documents")).drop("places")
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("places").withColumn("score", F.round("score", 6))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
