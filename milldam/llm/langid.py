@@ -24,6 +24,8 @@ SAMPLE_ROWS = 150
 SAMPLE_CHARS = 16_000
 SYMBOLS = 20_000
 SYMBOLS_ALL = 400_000
+#: Languages whose sampling rates may be broadcast to the texts.
+BROADCAST_LANGUAGES = 10_000
 #: The frequent letters with symbols of their own; 0 pads, 1 is all that is no letter, 2 other letters.
 LETTERS = 60
 #: A text is parsed in stretches of so many symbols, which bounds the lanes whatever its length.
@@ -185,10 +187,13 @@ def learned(docs: DataFrame, modulus: int = MODULUS, held: int = HELD) -> Langua
     rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), modulus) != held))
     rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     counts = rows.groupBy("lang").count().select(F.col("lang").alias("name"), (F.lit(SAMPLE_ROWS) / F.col("count")).alias("rate"))
+    rates = counts.collect()  # a row per language
+    if len(rates) <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     some = rows.join(counts, F.col("lang") == F.col("name")).where(draw < F.col("rate"))
     some = some.where(F.length("text") <= SAMPLE_CHARS).select("lang", "text", draw.alias("draw"))
-    samples: dict[str, list[str]] = {r["name"]: [] for r in counts.select("name").collect()}
+    samples: dict[str, list[str]] = {r["name"]: [] for r in rates}
     seen = set()
     for r in sorted(some.collect(), key=lambda r: (r["draw"], r["text"])):
         if r["text"] and (r["lang"], r["text"]) not in seen:
