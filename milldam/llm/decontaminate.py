@@ -25,12 +25,13 @@ BROADCAST_SEEDS = 1_000_000
 BROADCAST_KEYS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words. Splitting takes a tenth of the time of extracting matches.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def word_list(text: Column) -> Column:
     """Lower-cased (A-Z) words of ASCII letters, digits and all beyond ASCII; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def _hashes(text: Column) -> Column:
