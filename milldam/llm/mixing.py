@@ -21,7 +21,8 @@ SYMBOLS = "#$%&*|!"
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words ``[^\\x20\\x09-\\x0D]+``; splitting between them is much faster than counting matches."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def quality_weight(text: Column) -> Column:
