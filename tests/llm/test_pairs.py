@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from milldam.llm import neardup
+from milldam.llm import decontaminate, neardup
 from milldam.llm.components import components
 from milldam.llm.decontaminate import leaks, without_leaks
 from milldam.llm.neardup import keep_one, near_duplicates
@@ -165,6 +165,62 @@ def test_leaks(spark):
     assert kept.count() == sum(i not in flagged for i, *_ in rows)
 
 
+def plain_leaks(rows, items):
+    """Every diagonal that a masked seed hits, its best stretch word by word, the best one of each pair."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").translate(LOW))
+    places = [[j for j, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    out = {}
+    for i, t, *_ in rows:
+        w = split(t)
+        for item, text in items:
+            g = split(text)
+            if len(g) < decontaminate.MIN_ITEM:
+                continue
+            hits = set()
+            for m, at in zip(decontaminate.MASKS, places):
+                known = {}
+                for q in range(len(g) - len(m) + 1):
+                    known.setdefault(tuple(g[q + j] for j in at), []).append(q)
+                for p in range(len(w) - len(m) + 1):
+                    hits |= {p - q for q in known.get(tuple(w[p + j] for j in at), ())}
+            for d in hits:
+                run = begin = matched = top = 0
+                best = (0, 0, 0)
+                for k, x in enumerate(g):
+                    if run <= 0:
+                        run, begin, matched = 0, k, 0
+                    same = 0 <= d + k < len(w) and w[d + k] == x
+                    run, matched = run + (1 if same else -2), matched + same
+                    if run > top:
+                        top, best = run, (matched, begin - k - 1, -(d + begin))
+                if -best[1] >= min(decontaminate.MIN_SPAN, len(g)) and best[0] >= decontaminate.MIN_SHARE * -best[1]:
+                    key = (i, t, item)
+                    out[key] = max(out.get(key, best), best)
+    return sorted(((i, item, -w, m, -f) for (i, _, item), (m, w, f) in out.items()), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaks_equal_brute_force(spark, seed):
+    """Few words, so that chance hits abound, and items in pieces at every distance."""
+    r = random.Random(seed)
+    vocabulary = [prose(r, 1) for _ in range(14)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(7, 40)))) for i in range(12)]
+    rows = awkward()
+    for i in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
+        part = r.choice(items)[1].split()
+        lo = r.randrange(len(part))
+        part = [r.choice(vocabulary) if r.random() < r.choice([0, 0.1, 0.3]) else x for x in part[lo : lo + r.randint(5, 40)]]
+        rows.append((100 + i, " ".join(words[:20] + part + words[20:]), None, None, None))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_leaks(rows, items)
+    assert len(want) > 5
+    for limit in (decontaminate.BROADCAST_SEEDS, 0):
+        got = leaks(frame(spark, rows), bench, limit).collect()
+        assert sorted(((x["doc_id"], x["item_id"], x["n_words"], x["n_matched"], x["first_word"]) for x in got), key=repr) == want
+
+
 def test_leak_places(spark):
     r = random.Random(2)
     item = prose(r, 20)
