@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import word_set
+from ..functions.text import tokens, word_set
 from ..session import table
 
 #: Edges are supplier pairs whose common orders exceed the mean by so many standard deviations.
@@ -84,8 +84,6 @@ def split(rated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def part_words(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.text import tokens
-
     text = F.concat_ws(" ", "p_name", "p_brand", "p_type")
     return table(spark, d, "part").select(F.col("p_partkey").alias("i"), tokens(text).alias("words"))
 

@@ -116,7 +116,7 @@ def user_cf(ratings: str, neighbours: str, guess: str) -> list[str]:
 
 
 PLAIN = "case when shift is null then m.s / m.n else least(greatest(m.s / m.n + shift, 1.0), 5.0) end"
-POSITIVE = "least(greatest(m.s / m.n + greatest(coalesce(shift, 0), 0), 0.0), 5.0)"
+POSITIVE = "case when m.s is not null then least(greatest(m.s / m.n + greatest(coalesce(shift, 0), 0), 0.0), 5.0) end"
 ALL_NEAR = "select * from near0"
 HALF_NEAR = """select * from (select *, row_number() over (partition by u, i order by sim desc, v desc) as k, count(*) over (partition by u, i) as m from near0)
   where k <= floor(m / 2)"""
@@ -235,7 +235,7 @@ def oracle_sql() -> dict[str, str]:
             """drawn as (select t.u, t.i, sum(sim * r.r) as top, sum(abs(sim)) as total from test t join sims on x = t.i join train r on r.u = t.u and r.i = y
   where sim is not null group by 1, 2)""",
             "means as (select u, avg(r) as mean from train group by 1)",
-        ) + """select t.u, t.i, round(coalesce(least(greatest(nullif(top, 0) / nullif(total, 0), 1.0), 5.0), mean, 3.0), 6) as prediction
+        ) + """select t.u, t.i, round(coalesce(case when top <> 0 and total <> 0 then least(greatest(top / total, 1.0), 5.0) end, mean, 3.0), 6) as prediction
 from test t left join means m on m.u = t.u left join drawn x on x.u = t.u and x.i = t.i""",
         "baseline_predictions": with_(d.RATINGS, d.SPLIT, *baseline_ctes()) + "select u, i, round(prediction, 6) as prediction from baseline",
         "item_features": with_(d.PART_WORDS) + "select i, array_to_string(words, ' ') as words from part_words",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bytes_residue
 from ..operators import explore, graph, itemsets, recommend, similarity
-from ..session import saved, session, table
+from ..session import saved, table
 from ..sources import sinks
 from ..streaming import sketches
 from . import derived as d
@@ -347,8 +348,6 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _finished(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """All of a bounded stream, worked off batch by batch into a table."""
-    import uuid
-
     spark = stream.sparkSession
     label = f"{name}_{uuid.uuid4().hex[:8]}"
     run = stream.writeStream.outputMode(mode).format("memory").queryName(label).trigger(availableNow=True).start()
@@ -380,5 +379,3 @@ def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
-
-__all__ = ["queries", "session"]
