@@ -169,6 +169,32 @@ def propagation(rounds: int = 5) -> list[str]:
 REACH = """walk as (select src as node, src as reach from two union select w.node, t.dst from walk w join two t on t.src = w.reach),
 comps as (select node, min(reach) as component from walk group by 1)"""
 
+DEEPEST = 16
+
+
+def betweenness() -> list[str]:
+    """Levels from all roots and credits back, unrolled to DEEPEST levels."""
+    out = ["v0 as (select distinct src as root, src as node, 1.0::double as paths from two)", "s0 as (select root, node from v0)"]
+    for k in range(1, DEEPEST + 1):
+        out.append(
+            f"""v{k} as materialized (select root, dst as node, sum(paths) as paths from v{k - 1} join two on src = node
+  where not exists (select 1 from s{k - 1} s where s.root = v{k - 1}.root and s.node = dst) group by 1, 2)"""
+        )
+        out.append(f"s{k} as materialized (select * from s{k - 1} union all select root, node from v{k})")
+    out.append(f"c{DEEPEST} as (select root, node, paths, 1.0::double as credit from v{DEEPEST})")
+    for k in range(DEEPEST, 0, -1):
+        out.append(
+            f"""f{k} as materialized (select y.root, y.node, x.node as up, y.credit * x.paths / y.paths as c from c{k} y join two on src = y.node
+  join v{k - 1} x on x.root = y.root and x.node = dst)"""
+        )
+        out.append(
+            f"""c{k - 1} as materialized (select v.root, v.node, v.paths, 1 + coalesce(g.c, 0) as credit from v{k - 1} v
+  left join (select root, up as node, sum(c) as c from f{k} group by 1, 2) g using (root, node))"""
+        )
+    flows = " union all ".join(f"select least(node, up) as src, greatest(node, up) as dst, c from f{k}" for k in range(1, DEEPEST + 1))
+    return [*out, f"flows as ({flows})"]
+
+
 BLOOM_SQL = f"""arrivals as (select p_name as state, min(p_partkey) as ord, cast(floor(min(p_partkey) / 200) as bigint) as batch from part group by 1),
 hashed as (select ord, batch, {residue("state", BITS)} as x from arrivals),
 bits as (select ord, batch, unnest([{", ".join(f"({a} * x + {b}) % {BITS}" for a, b in BLOOM)}]) as bit from hashed),
@@ -244,6 +270,7 @@ from test t left join means m on m.u = t.u left join drawn x on x.u = t.u and x.
         + f"select p.u, p.i, round({blend}, 6) as prediction from predicted p join content c on c.u = p.u and c.i = p.i join baseline b on b.u = p.u and b.i = p.i",
         "rmse_user_cf": with_(*USER_CF) + "select count(*) as n, round(sqrt(avg(pow(prediction - r, 2))), 6) as rmse from predicted",
         "error_histogram_user_cf": with_(*USER_CF) + "select cast(least(floor(abs(round(prediction, 6) - r)), 4) as int) as bucket, count(*) as n from predicted group by 1",
+        "edge_betweenness": with_(d.EDGES, *betweenness()) + "select src, dst, round(sum(c) / 2, 6) as betweenness from flows group by 1, 2",
         "graph_degrees": with_(d.EDGES) + "select src as node, count(*) as degree from two group by 1",
         "connected_components": "with recursive " + d.EDGES + ",\n" + REACH + "\nselect node, component from comps",
         "label_propagation": with_(d.EDGES, *propagation()) + "select node, label from p5",
