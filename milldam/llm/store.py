@@ -24,6 +24,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.paths: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -31,13 +32,22 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.milldam_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Remove a saved table that nothing will read again."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.milldam_path)
+        self._remove(df.milldam_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all saved tables but these."""
+        for path in self.paths - {t.milldam_path for t in tables}:
+            self._remove(path)
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths.discard(name)
 
 
 def parallelism(spark: SparkSession) -> int:
