@@ -40,6 +40,8 @@ SHRINK = 0.7
 BLOCK_OUTSIDE, BLOCK_ALL = 512, 2048
 #: Ids that may be broadcast to pick texts (8 bytes each); beyond it the texts are shuffled instead.
 BROADCAST_IDS = 1_000_000
+#: Pairs whose sets are in memory at once when they are confirmed.
+CONFIRM_ROWS = 256
 TEXT_KEY = "__text_key"
 
 _rng = np.random.default_rng(8021)
@@ -140,7 +142,7 @@ def _named(k: int):
 
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, CONFIRM_ROWS) for whole in batches for lo in range(0, whole.num_rows, CONFIRM_ROWS)):
             a, b = [], []
             for column, out in ((batch.column(2), a), (batch.column(3), b)):
                 for _, _, data, ends in blocks(column):
@@ -343,6 +345,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     member = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = member.groupBy("label").agg(F.min("rep").alias("component"))
     member = scratch.save(member.join(smallest, "label").select("cls", "component"), "members")
+    scratch.keep(profile, member)
     out = profile.select("doc_id", TEXT_KEY, "n_shingles", "cls").join(member, "cls", "left")
     component = F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component"))
     kept = F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull())
