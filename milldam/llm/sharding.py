@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .store import Scratch
 
 SHARDS = 24
-ROUNDS = 4
+ROUNDS = 6
 #: How far above the mean a shard may grow while labels propagate.
 SLACK = 0.05
 #: Rows that one ranking task holds on average; groups above it are ranked in several parts.
@@ -83,6 +83,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         new = scratch.save(wishes.withColumn("shard", moved).drop("best"), f"round{turn}")
         scratch.drop(rows)
         rows = new
+    scratch.keep(rows)
     sizes = _counts(rows, shards)
     return _evened(rows, sizes, total).select(
         "doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
