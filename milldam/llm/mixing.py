@@ -17,6 +17,8 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 #: Rows that the prefix sums of one bucket of keys hold on average.
 BUCKET_ROWS = 20_000
+#: Sources whose rows of totals may be broadcast to the documents.
+BROADCAST_SOURCES = 10_000
 SYMBOLS = "#$%&*|!"
 
 
@@ -69,6 +71,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("source", "nr", "source_size", target.alias("target"))
 
 
+def _light(sources: DataFrame) -> DataFrame:
+    """A row per source, to be broadcast if there are few sources; else a hot source is left to the skew join."""
+    return F.broadcast(sources) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else sources
+
+
 def _taken(docs: DataFrame, weight: Column | None) -> tuple[DataFrame, DataFrame]:
     """The rows with what is taken of them, and each source's row."""
     scratch = Scratch(docs.sparkSession, "mix")
@@ -80,7 +87,7 @@ def _taken(docs: DataFrame, weight: Column | None) -> tuple[DataFrame, DataFrame
     sources = sources.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     n = max(1, -(-rows.count() // BUCKET_ROWS))
     bucket = F.least(F.floor((1 - F.exp(-F.col("order.key"))) * n), F.lit(n - 1)).alias("bucket")
-    s = sources.alias("s")
+    s = _light(sources).alias("s")
     placed = rows.join(s, rows["source"].eqNullSafe(F.col("s.source"))).select(rows["*"], "s.nr", "s.source_size", "s.target", "s.epochs", "s.rest", bucket)
     sums = placed.groupBy("nr", "bucket").agg(F.sum("order.size").alias("held"))
     earlier = F.sum("held").over(Window.partitionBy("nr").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -112,9 +119,9 @@ def draw(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     order of that last document."""
     taken, sources = _taken(docs, weight)
     ends = taken.where("part > 0").groupBy("nr").agg(F.max("order").alias("end"))
-    cuts = sources.join(ends, "nr", "left").select(F.col("source").alias("__source"), "epochs", "end")
+    cuts = Scratch(docs.sparkSession, "draw").save(sources.join(ends, "nr", "left").select(F.col("source").alias("__source"), "epochs", "end"), "cuts")
     rows = docs.withColumn("__order", _order(weight))
-    rows = rows.join(cuts, rows["source"].eqNullSafe(F.col("__source")))
+    rows = rows.join(_light(cuts), rows["source"].eqNullSafe(F.col("__source")))
     more = F.when(F.col("__order") <= F.col("end"), 1).otherwise(0)
     times = (F.col("epochs") + F.coalesce(more, F.lit(0))).cast("int")
     rows = rows.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
