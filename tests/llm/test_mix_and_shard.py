@@ -69,8 +69,10 @@ def plain_mix(rows):
     return target, sorted(out, key=repr)
 
 
-def test_mix_equals_plain(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_mix_equals_plain(spark, monkeypatch, limit):
     rows = [(i, *r[1:]) for i, r in enumerate(corpus())]  # ids that tell rows apart
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
     got = mixing.mix(frame(spark, rows, clash=True)).collect()
     target, want = plain_mix(rows)
