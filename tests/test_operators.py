@@ -111,6 +111,15 @@ def test_unknown_user_gets_default(spark):
     assert got[7] == 3.0
 
 
+def test_fit_blend(spark):
+    rows = [(u, i, float(u + i % 3), float(u * i % 5)) for u in range(6) for i in range(6)]
+    one = spark.createDataFrame([(u, i, a) for u, i, a, _ in rows], "u long, i long, prediction double")
+    two = spark.createDataFrame([(u, i, b) for u, i, _, b in rows], "u long, i long, prediction double")
+    actual = spark.createDataFrame([(u, i, 0.7 * a + 0.2 * b - 0.1) for u, i, a, b in rows], "u long, i long, r double")
+    weights, constant = recommend.fit_blend({"one": one, "two": two}, actual)
+    assert weights == pytest.approx({"one": 0.7, "two": 0.2}) and constant == pytest.approx(-0.1)
+
+
 def test_clamp(spark):
     df = spark.createDataFrame([(5.7,), (0.2,), (3.3,)], "x double")
     assert [r[0] for r in df.select(scalar.clamp(F.col("x"))).collect()] == [5.0, 1.0, 3.3]
