@@ -35,12 +35,19 @@ def candidate_pairs(signed: DataFrame, bands: int, rows: int) -> DataFrame:
 def jaccard(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of the pairs that reach ``least``: shared members over all members."""
     sizes = members.groupBy("item").agg(F.countDistinct("member").alias("n"))
+    pairs = _even(pairs, sizes, least)
     one = members.select(F.col("item").alias("a"), "member").distinct()
     two = members.select(F.col("item").alias("b"), "member").distinct()
     shared = pairs.join(one, "a").join(two, ["b", "member"]).groupBy("a", "b").agg(F.count("*").alias("both"))
     return _kept(shared, sizes, least)
 
 
+def _even(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """Pairs whose sizes allow the similarity: the smaller has ``least`` of the larger's members."""
+    a, b = sizes.select(F.col("item").alias("a"), F.col("n").alias("na")), sizes.select(F.col("item").alias("b"), F.col("n").alias("nb"))
+    return pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9).select("a", "b")
+
+
 def _kept(shared: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
     full = shared.join(sizes.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
     return full.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least)

@@ -6,7 +6,7 @@ from ..operators.recommend import BLEND, BLEND_BIAS
 from ..operators.similarity import PRIME, coefficients
 from ..streaming.sketches import BITS, BLOOM, MODULI, SAMPLE
 from . import derived as d
-from .queries import BANDS, RETAIL_ITEMS, ROWS, SINCE, SUPPORT_1, SUPPORT_2, SUPPORT_RETAIL
+from .queries import BANDS, RETAIL_ITEMS, ROWS, SHARE_1, SINCE, SUPPORT_2, SUPPORT_RETAIL
 
 
 def residue(column: str, modulus: int) -> str:
@@ -62,13 +62,13 @@ def all_levels(deepest: int, count: bool = True) -> str:
     return ("\nunion all\n" if count else "\nunion\n").join(out)
 
 
+SUPPORT_1 = f"(select greatest(1, ceil({SHARE_1}::double * count(distinct k))) from rows)"
 SHARDED = f"""rows as (select o as k, b as i, o % 4 as sh from order_brands),
 least as (select sh, count(distinct k) * ({SUPPORT_1} / (select count(distinct k) from rows)::double) as least from rows group by 1)"""
 
 FAMILY = coefficients(BANDS * ROWS)
-MEMBERS = f"""word_rows as (select distinct doc_id as item, unnest(regexp_split_to_array(lower(text), '\\s+')) as word from documents),
-vocabulary as (select word, {residue("word", 2_147_483_629)} as member from (select distinct word from word_rows where word <> '')),
-members as (select item, member from word_rows join vocabulary using (word))"""
+MEMBERS = """word_rows as (select distinct doc_id as item, unnest(regexp_split_to_array(lower(text), '\\s+')) as word from documents),
+members as (select item, ('0x' || substr(md5(word), 1, 8))::bigint as member from word_rows where word <> '')"""
 
 
 def signature_sql(members: str, n: int) -> str:
@@ -224,7 +224,7 @@ def oracle_sql() -> dict[str, str]:
     rows2 = "rows as (select item as k, key as i from retail)"
     rows3 = f"rows as (select key as k, item as i from retail where key in (select key from retail group by 1 having count(*) > {RETAIL_ITEMS}))"
     local = levels("rows", "(select least from least z where z.sh = a.sh)", 3, shard=True)
-    son = with_(d.ORDER_BRANDS, rows1, levels("rows", str(SUPPORT_1), 3)) + all_levels(3)
+    son = with_(d.ORDER_BRANDS, rows1, levels("rows", SUPPORT_1, 3)) + all_levels(3)
     blend = f"{BLEND_BIAS} + {BLEND['content']} * c.prediction + {BLEND['user']} * p.prediction + {BLEND['baseline']} * b.prediction"
     sample = with_(SAMPLE_SQL) + "select id, tag from sample"
     return {

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bytes_residue
+from ..functions.hashing import digest_number
 from ..operators import explore, graph, itemsets, recommend, similarity
 from ..session import saved, table
 from ..sources import sinks
 from ..streaming import sketches
 from . import derived as d
 
-SUPPORT_1, SUPPORT_2, SUPPORT_RETAIL, RETAIL_ITEMS = 400, 3, 3, 4
+#: Case 1 asks for a share of the baskets, so that its level of detail does not grow with the table.
+SHARE_1 = 0.027
+SUPPORT_2, SUPPORT_RETAIL, RETAIL_ITEMS = 3, 3, 4
 BANDS, ROWS = 13, 2
 SINCE = "1995"
 
@@ -83,6 +86,10 @@ def _brand_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.baskets(d.order_brands(spark, sf_dir), "o", "b")
 
 
+def _support(sets: DataFrame) -> int:
+    return max(1, math.ceil(SHARE_1 * sets.count()))
+
+
 def _order_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.baskets(d.retail(spark, sf_dir), "item", "key")
 
@@ -113,18 +120,20 @@ def retail_baskets_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def son_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(itemsets.local_candidates(_brand_sets(spark, sf_dir), SUPPORT_1, shards=4))
+    sets = _brand_sets(spark, sf_dir)
+    return _flat(itemsets.local_candidates(sets, _support(sets), shards=4))
 
 
 @query
 def son_frequent_case1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(itemsets.frequent(_brand_sets(spark, sf_dir), SUPPORT_1), "n")
+    sets = _brand_sets(spark, sf_dir)
+    return _flat(itemsets.frequent(sets, _support(sets)), "n")
 
 
 @query
 def son_two_phase_case1(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _brand_sets(spark, sf_dir)
-    return _flat(itemsets.confirmed(sets, itemsets.local_candidates(sets, SUPPORT_1, shards=4), SUPPORT_1), "n")
+    return _flat(itemsets.confirmed(sets, itemsets.local_candidates(sets, _support(sets), shards=4), _support(sets)), "n")
 
 
 @query
@@ -139,14 +148,15 @@ def son_frequent_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def itemset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.itemset_lines(itemsets.frequent(_brand_sets(spark, sf_dir), SUPPORT_1))
+    sets = _brand_sets(spark, sf_dir)
+    return sinks.itemset_lines(itemsets.frequent(sets, _support(sets)))
 
 
 # -- similarity ----------------------------------------------------------------------------------
 
 
 def _word_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.document_words(spark, sf_dir).select("item", bytes_residue(F.col("word"), 2_147_483_629).alias("member"))
+    return d.document_words(spark, sf_dir).select("item", digest_number(F.col("word")).alias("member"))
 
 
 @query
