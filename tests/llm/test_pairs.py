@@ -221,6 +221,61 @@ def test_leaks_equal_brute_force(spark, seed):
         assert sorted(((x["doc_id"], x["item_id"], x["n_words"], x["n_matched"], x["first_word"]) for x in got), key=repr) == want
 
 
+def overlapping(rows, items):
+    """(doc_id, item_id) of all pairs with a long and equal enough stretch on any diagonal."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    out = set()
+    for i, t, *_ in rows:
+        w = split(t)
+        for item, text in items:
+            g = split(text)
+            least = min(decontaminate.MIN_SPAN, len(g))
+            for d in range(-len(g) + 1, len(w)):
+                sums = [0]
+                for k, x in enumerate(g):
+                    sums.append(sums[-1] + (0 <= d + k < len(w) and w[d + k] == x))
+                if any(5 * (sums[b] - sums[a]) >= 4 * (b - a) for b in range(least, len(g) + 1) for a in range(b - least + 1)):
+                    out.add((i, item))
+                    break
+    return out
+
+
+def test_leaks_of_trimmed_and_hidden_stretches(spark):
+    """Substitutions near the ends, long half-equal stretches around equal ones, against all windows of all diagonals."""
+    r = random.Random(21)
+    items = [(i, prose(r, n)) for i, n in enumerate([8, 9, 10, 11, 12, 13, 15, 16, 25, 59, 120])]
+    rows = []
+    for item, text in items:
+        for _ in range(12):
+            words = text.split()
+            for k in r.sample(range(len(words)), len(words) // 5):
+                words[k] = prose(r, 1)
+            rows.append((len(rows), prose(r, 5) + " " + " ".join(words) + " " + prose(r, 5), None, None, None))
+    for item, whole, every in ((9, 13, 3), (10, 50, 4), (10, 13, 2)):
+        words = items[item][1].split()
+        rows.append((len(rows), " ".join(prose(r, 1) if k >= whole and k % every == 0 else w for k, w in enumerate(words)), None, None, None))
+    want = overlapping(rows, items)
+    assert len(want) > len(items) * 11
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_SEEDS, 0):
+        assert {(x["doc_id"], x["item_id"]) for x in leaks(frame(spark, rows), bench, limit).collect()} == want
+
+
+def test_masks_miss_no_overlap():
+    """No stretch that counts as an overlap escapes every mask."""
+    masks = [(len(m), int(m, 2)) for m in decontaminate.MASKS]
+    most = {0: 0}  # the last words' matches: the most matches so far
+    for n in range(1, 2 * decontaminate.MIN_SPAN):
+        step = {}
+        for last, count in most.items():
+            for same in (0, 1):
+                now = (last << 1 | same) & 255
+                if not any(now & m == m for size, m in masks if size <= n):
+                    step[now] = max(step.get(now, 0), count + same)
+        most = step
+        assert n < decontaminate.MIN_ITEM or 5 * max(most.values()) < 4 * n
+
+
 def test_leak_places(spark):
     r = random.Random(2)
     item = prose(r, 20)
