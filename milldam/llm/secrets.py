@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,6 @@ from .textops import LOWER, blocks, spans
 KINDS = ("assign", "access", "hex", "guess")
 #: Bits from which a value in credential context is a span of kind ``guess``.
 LEAST_BITS = 40.0
-#: Longest value that is judged as a whole; the rest of a longer one is brute force by its classes.
-LONGEST = 256
 
 _ASSIGN = re.compile(rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ASSIGN_KEYS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
@@ -72,60 +71,120 @@ def _class_bits(value: str) -> float:
     return math.log2(max(size, 2))
 
 
-def _pieces(value: str) -> list[tuple[int, int, float]]:
-    """Start, end and bits of every span that is cheaper than brute force."""
-    low, out, n = value.lower(), [], len(value)
+def _fixed(value: str) -> Iterator[tuple[int, int, float]]:
+    """Start, end and bits, by start, of every cheap span but keyboard walks: a bounded number at each place."""
+    low, n = value.lower(), len(value)
     plain = low.translate(_PLAIN)
+    again = []  # by period: how far each place's characters come again after it
+    for size in range(1, min(8, n // 2) + 1):
+        far = [0] * (n + 1)
+        for i in range(n - size - 1, -1, -1):
+            far[i] = far[i + 1] + 1 if value[i] == value[i + size] else 0
+        again.append(far)
+    stairs = [0] * (n + 1)  # how many steps like the one that begins here follow each other
+    for i in range(n - 2, -1, -1):
+        if abs(step := ord(low[i + 1]) - ord(low[i])) == 1:
+            stairs[i] = stairs[i + 1] + 1 if i + 2 < n and ord(low[i + 2]) - ord(low[i + 1]) == ord(low[i + 1]) - ord(low[i]) else 1
     for i in range(n):
         if value[i] in "_-. /":
-            out.append((i, i + 1, 2.0))
+            yield i, i + 1, 2.0
         for j in range(i + 2, min(n, i + _LONGEST_WORD) + 1):
             for text, more in ((low, 0.0), (plain, 2.0)):
                 if (rank := _RANK.get(text[i:j])) is not None:
                     own = value[i:j]
                     case = 0.0 if own == own.lower() else 1.0 if own == own.upper() or own == own.capitalize() else float(j - i)
-                    out.append((i, j, math.log2(rank) + 1 + more + case))
+                    yield i, j, math.log2(rank) + 1 + more + case
                     break
         if m := _DATE.match(value, i):
             year = int((re.search(r"(?:19|20)\d\d", m[0]) or [m[0][:4]])[0])
             bits = math.log2(abs(year - 2020) + 20) + (math.log2(366) + 2 if len(m[0]) > 4 else 0)
-            out.append((i, m.end(), bits))
-        for size in range(1, min(8, (n - i) // 2) + 1):
-            j = i + size
-            while value.startswith(value[i : i + size], j):
-                j += size
-            times = (j - i) // size
+            yield i, m.end(), bits
+        for size, far in enumerate(again, 1):
+            times = far[i] // size + 1
             if times >= (3 if size == 1 else 2):
-                out.append((i, j, size * _class_bits(value[i : i + size]) + math.log2(times)))
-        j = i + 1
-        while j < n and low[j] in _NEXT.get(low[j - 1], ()) or j < n and j - i > 1 and low[j] == low[j - 1] and low[j] in _NEXT:
-            j += 1
-        for end in range(i + 4, j + 1):
-            turns = sum(ord(low[t + 1]) - ord(low[t]) != ord(low[t]) - ord(low[t - 1]) for t in range(i + 1, end - 1))
-            out.append((i, end, math.log2(47) + math.log2(end - i) + 1.0 + 1.1 * turns))
-        j = i + 1
-        if j < n and abs(step := ord(low[j]) - ord(low[i])) == 1:
-            while j < n and ord(low[j]) - ord(low[j - 1]) == step:
-                j += 1
-            if j - i >= 3:
-                out.append((i, j, math.log2(36) + math.log2(j - i) + 1.0))
-    return out
+                yield i, i + times * size, size * _class_bits(value[i : i + size]) + math.log2(times)
+        if stairs[i] >= 2:
+            yield i, i + stairs[i] + 1, math.log2(36) + math.log2(stairs[i] + 1) + 1.0
+
+
+class _Walks:
+    """Keyboard walks: key to neighbouring key, held keys in between, from 4 characters on, ending anywhere."""
+
+    def __init__(self, value: str):
+        low = value.lower()
+        codes, n = [ord(c) for c in low], len(low)
+        self.begins = [t + 1 < n and low[t + 1] in _NEXT.get(low[t], ()) for t in range(n)]
+        goes = [b or (t + 1 < n and low[t + 1] == low[t] and low[t] in _NEXT) for t, b in enumerate(self.begins)]
+        self.stop = [0] * n  # where the run of a place ends
+        self.turns = [0] * n  # turns up to a place
+        for t in range(n - 1, -1, -1):
+            self.stop[t] = self.stop[t + 1] if goes[t] else t + 1
+        for t in range(1, n):
+            self.turns[t] = self.turns[t - 1] + (t + 1 < n and codes[t + 1] - codes[t] != codes[t] - codes[t - 1])
+        #: Starts, the best for the next ends last, each up to the end from which the one before it is better.
+        self.kept: list[tuple[int, int]] = []
+
+    def bits(self, i: int, end: int) -> float:
+        return math.log2(47) + math.log2(end - i) + 1.0 + 1.1 * (self.turns[end - 2] - self.turns[i])
+
+    def cheapest(self, end: int, best: list[float]) -> float:
+        """The least cost of a segmentation up to ``end`` whose last piece is a walk; ends come in order.
+
+        A longer walk's logarithm grows slower, so once an earlier start is better it stays so, and a
+        stack with the places of change holds all starts that can still win.
+        """
+        kept, i = self.kept, end - 4
+        if i < 0:
+            return math.inf
+        if kept and self.stop[kept[-1][0]] < end:
+            kept.clear()
+
+        def cost(start: int, at: int) -> float:
+            return best[start] + self.bits(start, at) + (1.0 if start else 0.0)
+
+        if self.begins[i] and self.stop[i] >= end:
+            while kept and kept[-1][1] < end:
+                kept.pop()
+            if not kept or cost(i, end) < cost(kept[-1][0], end):
+                while kept and cost(i, kept[-1][1]) < cost(*kept[-1]):
+                    kept.pop()
+                until = self.stop[i]
+                if kept:
+                    lo, hi = end, kept[-1][1]  # better at lo, not at hi
+                    while hi - lo > 1:
+                        mid = (lo + hi) // 2
+                        lo, hi = (mid, hi) if cost(i, mid) < cost(kept[-1][0], mid) else (lo, mid)
+                    until = lo
+                kept.append((i, until))
+        while kept and kept[-1][1] < end:
+            kept.pop()
+        return cost(kept[-1][0], end) if kept else math.inf
+
+
+def _pieces(value: str) -> list[tuple[int, int, float]]:
+    """Start, end and bits of every span that is cheaper than brute force."""
+    walks = _Walks(value)
+    return [*_fixed(value), *((i, j, walks.bits(i, j)) for i, b in enumerate(walks.begins) if b for j in range(i + 4, walks.stop[i] + 1))]
 
 
 def guess_bits(value: str) -> float:
-    """The cheapest segmentation of ``value``, in bits; each piece after the first costs one bit more."""
-    head, rest = value[:LONGEST], value[LONGEST:]
-    char = _class_bits(value)
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, bits in _pieces(head):
-        ends.setdefault(j, []).append((i, bits))
+    """The cheapest segmentation of ``value``, in bits; each piece after the first costs one bit more.
+
+    Time grows with the length (and the logarithm of the longest walk).
+    """
+    char, walks, fixed = _class_bits(value), _Walks(value), _fixed(value)
+    ahead: dict[int, float] = {}  # the least cost of fixed pieces that end there
     best, brute = [0.0], [math.inf]  # any last piece; a brute-force last piece
-    for j in range(1, len(head) + 1):
+    piece = next(fixed, None)
+    for j in range(1, len(value) + 1):
+        while piece and piece[0] < j:
+            i, end, bits = piece
+            ahead[end] = min(ahead.get(end, math.inf), best[i] + bits + (1.0 if i else 0.0))
+            piece = next(fixed, None)
         open_ = min(brute[j - 1] + char, best[j - 1] + char + (1.0 if j > 1 else 0.0))
-        pieces = (best[i] + bits + (1.0 if i else 0.0) for i, bits in ends.get(j, ()))
         brute.append(open_)
-        best.append(min(open_, min(pieces, default=math.inf)))
-    return best[-1] + char * len(rest)
+        best.append(min(open_, ahead.pop(j, math.inf), walks.cheapest(j, best)))
+    return best[-1]
 
 
 def find_spans(raw: bytes, hexes: list[tuple[int, int]], marks: list[int]) -> tuple[list[tuple[int, int, int]], float | None]:

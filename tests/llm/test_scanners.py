@@ -147,6 +147,32 @@ def test_long_value():
     assert secrets.guess_bits(value) == pytest.approx(want)
 
 
+def plain_bits(value):
+    """The minimum over all segmentations into listed pieces, forwards."""
+    char, ends = secrets._class_bits(value), {}
+    for i, j, bits in secrets._pieces(value):
+        ends.setdefault(j, []).append((i, bits))
+    best, brute = [0.0], [float("inf")]
+    for j in range(1, len(value) + 1):
+        brute.append(min(brute[-1] + char, best[-1] + char + (j > 1)))
+        best.append(min([brute[-1], *(best[i] + bits + (i > 0) for i, bits in ends.get(j, ()))]))
+    return best[-1]
+
+
+def test_values_are_judged_whole(spark):
+    r = random.Random(8)
+    walk = "q"
+    while len(walk) < 700:
+        walk += r.choice(sorted(secrets._NEXT[walk[-1]]) + [walk[-1]])
+    mixed = "".join(r.choice([r.choice(["asdf", "qwerty", "fghj", "password", "2024-01-31", "abcdef", "xxxxx", "P4ss", "tyuuytr"]), chr(r.randint(33, 126))]) for _ in range(150))
+    for value in ("x" * 300, "deadbeef" * 50, walk, mixed, walk[:200] + mixed[:90] + walk[300:500], "as" * 200, "/usr/local/data/" * 30):
+        assert secrets.guess_bits(value) == pytest.approx(plain_bits(value))
+    assert max(secrets.guess_bits(v) for v in ("x" * 300, "todo" * 100, "as" * 4500)) < secrets.LEAST_BITS
+    rows = [(1, "token: " + "x" * 300, None, None, None), (2, "token: " + "x" * 300 + "xK9$mP2vQ8zR", None, None, None)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(frame(spark, rows)).collect()}
+    assert "guess" not in got[1] and "guess:7:319" in got[2]
+
+
 # -- fingerprints --------------------------------------------------------------------------------
 
 
