@@ -19,7 +19,7 @@ from .learning import fold, with_scores
 from .textops import blocks
 
 MODULUS, HELD = 4, 2
-#: Sample rows of a language (in expectation), the longest text among them, symbols per language and over all.
+#: Sample rows of a language (in expectation), characters taken of each, symbols per language and over all.
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 16_000
 SYMBOLS = 20_000
@@ -69,6 +69,7 @@ class LanguageModel:
     """Symbols, and one table for all languages' automata."""
 
     def __init__(self, samples: dict[str, list[str]]):
+        samples = {name: texts for name, texts in samples.items() if any(ch.isalpha() for text in texts for ch in text)}
         self.languages = sorted(samples)
         letters: dict[str, int] = {}
         for texts in samples.values():
@@ -104,8 +105,10 @@ class LanguageModel:
             table[:, 0] = (np.arange(n) * self.width + at) * 2
             tables.append(table.ravel())
             self.base.append(at)
-            self.bits.append(float(np.log2(len(s) + 2)))
+            self.bits.append(len(s) + 2)
             at += n * self.width
+        # All pointers cost as in the largest sample: cheap pointers into a tiny one would win every text.
+        self.bits = [float(np.log2(max(self.bits, default=2)))] * len(self.bits)
         self.table = np.concatenate(tables).astype(np.int32 if at < 2**30 else np.int64) if tables else np.zeros(0, np.int32)
 
     @staticmethod
@@ -183,16 +186,22 @@ class LanguageModel:
 
 
 def learned(docs: DataFrame, modulus: int = MODULUS, held: int = HELD) -> LanguageModel:
-    """A model of every non-null ``lang`` outside the held-out fold, from a hashed sample of its rows."""
-    rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), modulus) != held))
-    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.groupBy("lang").count().select(F.col("lang").alias("name"), (F.lit(SAMPLE_ROWS) / F.col("count")).alias("rate"))
+    """A model of every non-null ``lang`` outside the held-out fold, from a hashed sample of its rows with letters.
+
+    A text gives its first SAMPLE_CHARS characters from its first letter on. The row drawn first is
+    always in the sample, so a language is left out only if none of its rows has a letter.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), modulus) != held) & F.col("text").rlike(r"\p{L}"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.struct(draw.alias("draw"), F.xxhash64("text").alias("key")).alias("draw"))
+    counts = rows.groupBy("lang").agg((F.lit(SAMPLE_ROWS) / F.count("*")).alias("rate"), F.min("draw").alias("first"))
+    counts = counts.withColumnRenamed("lang", "name")
     rates = counts.collect()  # a row per language
     if len(rates) <= BROADCAST_LANGUAGES:
         counts = F.broadcast(counts)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.join(counts, F.col("lang") == F.col("name")).where(draw < F.col("rate"))
-    some = some.where(F.length("text") <= SAMPLE_CHARS).select("lang", "text", draw.alias("draw"))
+    some = rows.join(counts, F.col("lang") == F.col("name")).where((F.col("draw.draw") < F.col("rate")) | (F.col("draw") == F.col("first")))
+    cut = F.substring(F.regexp_replace("text", r"^[^\p{L}]+", ""), 1, SAMPLE_CHARS)
+    some = some.select("lang", cut.alias("text"), F.col("draw.draw").alias("draw")).distinct()
     samples: dict[str, list[str]] = {r["name"]: [] for r in rates}
     seen = set()
     for r in sorted(some.collect(), key=lambda r: (r["draw"], r["text"])):

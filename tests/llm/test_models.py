@@ -44,6 +44,17 @@ def test_language_of_nothing(spark):
     assert langid.identify(frame(spark, awkward())).count() == len(awkward())
 
 
+@pytest.mark.parametrize("text", [None, "", "12 !", "q", " " * langid.SAMPLE_CHARS + "qqqq", "q " * langid.SAMPLE_CHARS])
+def test_rare_language_does_not_win(spark, text):
+    """One labelled row with little or no text, or a long one, takes no text from the others."""
+    rows = language_rows() + [(i, text, "rare", "s", 1) for i in range(1000, 1020)]
+    learned = langid.learned(frame(spark, rows))
+    assert ("rare" in learned.languages) == any(ch.isalpha() for ch in text or "")
+    got = langid.identify(frame(spark, rows)).collect()
+    right = {i: lang for i, _, lang, *_ in rows[:240]}
+    assert np.mean([x["lang_pred"] == right[x["doc_id"]] for x in got if x["doc_id"] in right and x["held_out"]]) > 0.97
+
+
 def test_cross_parsing_equals_plain():
     """Phrases by the tables are greedy longest matches in the sample."""
     r = random.Random(2)
