@@ -26,8 +26,10 @@ SYMBOLS = 20_000
 SYMBOLS_ALL = 400_000
 #: Languages whose sampling rates may be broadcast to the texts.
 BROADCAST_LANGUAGES = 10_000
-#: The frequent letters with symbols of their own; 0 pads, 1 is all that is no letter, 2 other letters.
+#: The frequent letters with symbols of their own; 0 pads, 1 is all that is no letter, 2 letters of no sample.
 LETTERS = 60
+#: Each other letter of the samples is a row of digits to this base; the first digits have symbols apart.
+DIGITS = 16
 #: A text is parsed in stretches of so many symbols, which bounds the lanes whatever its length.
 STRETCH = 512
 #: Texts up to this many symbols are parsed from every start, which settles ties.
@@ -80,18 +82,36 @@ class LanguageModel:
         common = sorted(letters, key=lambda ch: (-letters[ch], ch))[:LETTERS]
         number = {ch: i + 3 for i, ch in enumerate(common)}
         self.width = 3 + len(common)
+        rare = sorted(letters.keys() - number.keys(), key=lambda ch: (-letters[ch], ch))
+        places = 1
+        while DIGITS**places < len(rare):
+            places += 1
+        more = {}  # a rare letter's digits after the first
+        for i, ch in enumerate(rare):
+            first, *rest = (i // DIGITS**k % DIGITS for k in range(places - 1, -1, -1))
+            number[ch] = self.width + first
+            more[ch] = [self.width + DIGITS + digit for digit in rest]
+        if rare:
+            self.width += 2 * DIGITS
+        #: The (first) symbol of each code point, which ones have more, and those.
         self.symbol = np.ones(0x110000, dtype=np.uint8)
+        self.long = np.zeros(0x110000, dtype=bool)
+        self.more = np.zeros((0x110000 if places > 1 else 0, places - 1), dtype=np.uint8)
         for cp in range(0x110000):
             ch = chr(cp)
             if ch.isalpha():
-                self.symbol[cp] = number.get(ch.lower()[0], 2)
+                low = ch.lower()[0]
+                self.symbol[cp] = number.get(low, 2)
+                if more.get(low):
+                    self.long[cp] = True
+                    self.more[cp] = more[low]
         budget = min(SYMBOLS, SYMBOLS_ALL // max(1, len(self.languages)))
         tables, self.bits, self.base, at = [], [], [], 0
         for name in self.languages:
             s: list[int] = []
             for text in samples[name]:
                 cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-                sym = self._collapsed(self.symbol[cps])
+                sym = self._collapsed(self._symbols(cps)[0])
                 s += sym[: budget - len(s)].tolist() + [1]
                 if len(s) >= budget:
                     break
@@ -111,6 +131,18 @@ class LanguageModel:
         self.bits = [float(np.log2(max(self.bits, default=2)))] * len(self.bits)
         self.table = np.concatenate(tables).astype(np.int32 if at < 2**30 else np.int64) if tables else np.zeros(0, np.int32)
 
+    def _symbols(self, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of code points, and where each begins (and the end)."""
+        first, long_ = self.symbol[cps], self.long[cps]
+        extra = self.more.shape[1]
+        if not extra or not long_.any():
+            return first, np.arange(len(cps) + 1)
+        at = np.concatenate([[0], np.cumsum(1 + extra * long_)])
+        sym = np.empty(at[-1], dtype=np.uint8)
+        sym[at[:-1]] = first
+        sym[at[:-1][long_][:, None] + np.arange(1, extra + 1)] = self.more[cps[long_]]
+        return sym, at
+
     @staticmethod
     def _collapsed(sym: np.ndarray) -> np.ndarray:
         keep = np.ones(len(sym), dtype=bool)
@@ -137,9 +169,10 @@ class LanguageModel:
         cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         at = heads[ends]
-        sym = self.symbol[cps]
-        letters = np.concatenate([[0], np.cumsum(sym != 1)])
+        letters = np.concatenate([[0], np.cumsum(self.symbol[cps] != 1)])
         letters = letters[at[1:]] - letters[at[:-1]]
+        sym, begin = self._symbols(cps)
+        at = begin[at]
         keep = np.ones(len(sym), dtype=bool)
         keep[1:] = (sym[1:] != 1) | (sym[:-1] != 1)
         keep[at[:-1][at[:-1] < len(sym)]] = True

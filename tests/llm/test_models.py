@@ -55,6 +55,21 @@ def test_rare_language_does_not_win(spark, text):
     assert np.mean([x["lang_pred"] == right[x["doc_id"]] for x in got if x["doc_id"] in right and x["held_out"]]) > 0.97
 
 
+def test_languages_of_many_scripts(spark):
+    """Letters beyond the commonest, of alphabets with thousands of them, still tell languages apart."""
+    r, rows = random.Random(4), []
+    letters = {"ru": [chr(c) for c in range(0x430, 0x450)], "el": [chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2], "en": list("abcdefghijklmnopqrstuvwxyz")}
+    letters |= {"th": [chr(c) for c in range(0xE01, 0xE2F)], "han": [chr(c) for c in range(0x4E00, 0x5400)], "hangul": [chr(c) for c in range(0xAC00, 0xB200)]}
+    words = {k: ["".join(r.choice(a) for _ in range(r.randint(2, 5))) for _ in range(300)] for k, a in letters.items()}
+    words["han2"] = ["".join(r.choice(letters["han"]) for _ in range(r.randint(2, 5))) for _ in range(300)]
+    for i in range(420):
+        lang = list(words)[i % 7]
+        rows.append((i, " ".join(r.choice(words[lang]) for _ in range(r.randint(3, 40))), lang, "s", 1))
+    got = langid.identify(frame(spark, rows)).collect()
+    held = [x["lang_pred"] == rows[x["doc_id"]][2] for x in got if x["held_out"]]
+    assert len(held) > 50 and np.mean(held) > 0.97
+
+
 def test_cross_parsing_equals_plain():
     """Phrases by the tables are greedy longest matches in the sample."""
     r = random.Random(2)
