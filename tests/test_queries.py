@@ -45,3 +45,10 @@ def test_query(name, spark, duck, sf_dir):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_bench_times_whole_similarity():
+    """The headline has the confirmed pairs, not only their candidates."""
+    import bench
+
+    assert {"lsh_candidate_pairs", "lsh_similar_pairs"} <= set(bench.HEADLINE)
