@@ -6,10 +6,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from milldam.llm import mixing, sharding
 
@@ -137,6 +139,99 @@ def test_links_pull_together(spark):
     assert sum(len(s) == 1 for s in spread.values()) > 200
 
 
+def spark_hash(*values):
+    """The session's 64-bit hash: str, int (four bytes) or (int,) (eight bytes); None changes nothing."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return struct.unpack("<q", struct.pack("<Q", seed))[0]
+
+
+def signed(value):
+    return (value,) if value is not None else None
+
+
+def plain_propagation(rows, shards):
+    """The shard of every linked row (doc_id, text) before counts are evened out, cell by cell."""
+    goal, fraction = len(rows) // shards, lambda *of: spark_hash(*of) % (1 << 30) / (1 << 30)
+    team = lambda t: spark_hash(t or "", signed(zlib.crc32((t or "").encode())), len((t or "").encode()))
+    cell = lambda i, t: (team(t), spark_hash(signed(i), "start") % shards, spark_hash(signed(i), "part") % sharding.PARTS)
+    count = Counter(cell(i, t) for i, t, *_ in rows)
+    members = Counter()
+    for c, n in count.items():
+        members[c[0]] += n
+    where, strict, turn = {c: c[1] for c in count if members[c[0]] > 1}, True, 1
+    while turn <= sharding.ROUNDS:
+        most = goal if strict else int(goal * (1 + sharding.SLACK)) + 1
+        size, votes = [0] * shards, defaultdict(Counter)
+        for c, j in where.items():
+            size[j] += count[c]
+            votes[c[0]][j] += count[c]
+        free = [most - n for n in size]
+        open_ = [j for j in range(shards) if free[j] > 0]
+        asks = {}
+        for t, v in votes.items():
+            if len(v) == 1:
+                continue
+            own = [(free[j] >= members[t] - n, n, spark_hash((t,), j), j) for j, n in v.items() if free[j] > 0]
+            best = max(own, default=None)
+            fits, target = bool(best and best[0]), best[3] if best else None
+            if open_ and not fits:
+                other = open_[spark_hash((t,), turn) % len(open_)]
+                if free[other] >= members[t]:
+                    fits, target = True, other
+            for c, j in where.items():
+                rank = lambda k: (v[k], spark_hash((t,), k))  # noqa: B023, E731
+                if c[0] == t and target is not None and j != target and (fits or (strict and rank(j) < rank(target))):
+                    asks[c] = target, fraction((t,), turn) if fits else fraction((t,), c[1], c[2], turn)
+        wanted = Counter()
+        for c, (target, _) in asks.items():
+            wanted[where[c], target] += count[c]
+        share = sharding.quotas(size, wanted, most)
+        if sum(n * share[j] for (_, j), n in wanted.items()) < 1:
+            if not strict:
+                break
+            strict = False
+            continue
+        for c, (target, draw) in asks.items():
+            if draw < share[target]:
+                where[c] = target
+        turn += 1
+    return {(i, t): where[cell(i, t)] for i, t, *_ in rows if cell(i, t) in where}
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 0), (2, 150), (3, 40)])
+def test_propagation_equals_plain(spark, seed, hot):
+    """Groups of copies of all sizes, one larger than a shard: each linked row goes where the rounds send it."""
+    r = random.Random(seed)
+    rows = [(i, "the hot text") for i in range(hot)]
+    for g in range(40):
+        rows += [(1000 * g + 500 + c, prose(random.Random(1000 * seed + g), 8)) for c in range(r.choice([1, 2, 3, 7, 15]))]
+    rows += [(90_000 + i, prose(r, 6)) for i in range(200)] + [(90_500, None), (90_501, ""), (None, "lone"), (90_502, "lone")]
+    rows = [(i, t, None, None, None) for i, t in rows]
+    want = plain_propagation(rows, 6)
+    got = {x["doc_id"]: x for x in sharding.balanced_shards(frame(spark, rows), 6).collect()}
+    load = Counter(want.values())
+    assert len(want) > 100 and len(got) == len(rows)
+    for (i, _), shard in want.items():
+        assert got[i]["shard"] == shard or load[shard] > len(rows) // 6  # a shard with more linked rows hands some on
+
+
+def test_sharded_rows_keep_all_columns(spark):
+    rows = corpus(n=60)
+    df = frame(spark, rows, clash=True)
+    out = sharding.sharded_rows(df)
+    new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert out.columns == [c for c in df.columns if c not in new] + new
+    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])
+    assert Counter(map(key, out.collect())) == Counter(map(key, df.collect()))
+    same = Counter((r["doc_id"], r["shard"], r["slot"]) for r in sharding.balanced_shards(df).collect())
+    ids = Counter(r["doc_id"] for r in df.collect())
+    assert {k: n for k, n in Counter((r["doc_id"], r["shard"], r["slot"]) for r in out.collect()).items() if ids[k[0]] == 1} == {k: n for k, n in same.items() if ids[k[0]] == 1}
+
+
 def test_one_group_of_copies(spark):
     rows = [(i, "same text", None, None, None) for i in range(200)] + [(1000 + i, f"text {i}", None, None, None) for i in range(300)]
     got = sharding.balanced_shards(frame(spark, rows)).collect()
