@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import TEXT_KEY
+from .store import Scratch
 
 #: Places of a window that count; 0s are ignored. Together they hit every stretch of 7 words or more of
 #: which MIN_SHARE match; without the last, some of 10, 11, 12 and 15 words are missed.
@@ -20,11 +21,19 @@ MASKS = ("1101011", "1110101", "10011011", "1111")
 #: Words that an overlap must span (or the whole item, if that has fewer) and the share that must match.
 MIN_SPAN = 13
 MIN_SHARE = 0.8
-#: Items of fewer words carry too little evidence and are not searched for.
+#: Items of fewer words must stand word for word: a substitution leaves them too little evidence.
 MIN_ITEM = 8
+#: Items too short for any mask are leaked only by documents that hold nothing else: inside other
+#: texts one to three words stand by chance. Their seed is the whole list of words.
+WHOLE = len(MASKS)
+SHORTEST = min(map(len, MASKS))
 #: Seeds of the benchmark that may be broadcast (about 60 bytes each); beyond it they are shuffled.
 BROADCAST_SEEDS = 1_000_000
+#: Leaking rows that may be broadcast (16 bytes each).
 BROADCAST_KEYS = 1_000_000
+#: Beyond the broadcast limit, places of documents are dealt to so many parts of their seed, so that a
+#: very frequent seed is no hot key.
+SALTS = 16
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words. Splitting takes a tenth of the time of extracting matches.
@@ -48,9 +57,11 @@ def _seed(mask: int, h: Column, at: Column) -> Column:
 
 def _seeds(table: DataFrame, h: str) -> DataFrame:
     """Adds at, mask and seed: a row for each place and mask of the hashes in ``h``."""
-    shortest = min(map(len, MASKS))
-    places = table.where(F.size(h) >= shortest).withColumn("at", F.explode(F.sequence(F.lit(0), F.size(h) - shortest)))
-    seeds = F.array(*(_seed(m, F.col(h), F.col("at")) for m in range(len(MASKS))))
+    n = F.size(h)
+    starts = F.when(n >= SHORTEST, F.sequence(F.lit(0), n - SHORTEST)).otherwise(F.array(F.lit(0)))
+    places = table.where(n > 0).withColumn("at", F.explode(starts))
+    whole = F.when(n < SHORTEST, F.xxhash64(F.lit(WHOLE), F.col(h)))
+    seeds = F.array(*(_seed(m, F.col(h), F.col("at")) for m in range(len(MASKS))), whole)
     return places.select("*", F.posexplode(seeds).alias("mask", "seed")).where("seed is not null")
 
 
@@ -58,11 +69,12 @@ def _aligned(h: Column, g: Column, diagonal: Column) -> Column:
     """The best stretch where ``h`` (from ``diagonal`` on) meets ``g``: its words, how many match, its start in g.
 
     ``over`` tells whether any stretch of MIN_SPAN words (or all of g) or more matches in MIN_SHARE of
-    them. A match adds what a substitution lacks, so such a stretch sums to 0 or more: the last
+    them (in all, if g has fewer than MIN_ITEM). A match adds what a substitution lacks, so such a stretch sums to 0 or more: the last
     words' sum (``window``) and the best sum that ends before them (``ahead``) find it.
     """
     zero = F.lit(0)
-    gain, loss = round(100 * (1 - MIN_SHARE)), -round(100 * MIN_SHARE)
+    gain = F.lit(round(100 * (1 - MIN_SHARE)))
+    loss = F.when(F.size(g) < MIN_ITEM, -100_000).otherwise(-round(100 * MIN_SHARE))
     least = F.least(F.lit(MIN_SPAN), F.size(g))
     start = F.struct(zero.alias("i"), zero.alias("run"), zero.alias("at"), zero.alias("hit"), zero.alias("top"), zero.alias("words"), zero.alias("matched"), zero.alias("begin"), zero.alias("window"), zero.alias("ahead"), F.lit(False).alias("over"))
 
@@ -94,19 +106,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAS
     """doc_id, text key, item_id, n_words, n_matched, first_word: one row for each document and item that overlap.
 
     They overlap if, in an alignment without gaps, any stretch of MIN_SPAN words or more (or of the
-    item's length, if smaller) has MIN_SHARE of them equal. The best-scoring stretch of that alignment
+    item's length, if smaller) has MIN_SHARE of them equal. Items of fewer than MIN_ITEM words must
+    stand word for word, and those of fewer than SHORTEST be all that the document has. The best-scoring stretch of that alignment
     gives n_words, n_matched and first_word, and may itself be shorter or less equal. Of several
     alignments with one item the longest match counts. Null and short texts overlap with nothing; repeated rows (equal id and
     text) give one row; null ids stay null. Extra columns are ignored; empty tables give no rows.
     """
     own = docs.select(F.col("doc_id"), F.xxhash64("text").alias(TEXT_KEY), _hashes(F.col("text")).alias("h"))
-    items = benchmark.select("item_id", _hashes(F.col("text")).alias("g")).where(F.size("g") >= MIN_ITEM).distinct()
+    items = benchmark.select("item_id", _hashes(F.col("text")).alias("g")).where(F.size("g") > 0).distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "g"))
     known = _seeds(items, "g")
     before = F.coalesce(*(F.when(F.col("mask") == m, _seed(m, F.col("g"), F.col("at") - 1)) for m in range(len(MASKS))))
     known = known.select("item", "seed", F.col("at").alias("item_at"), before.alias("before"))
     begins = F.coalesce(
-        *(F.when(F.col("mask") == m, F.coalesce(_seed(m, F.col("h"), F.col("at") - 1) != F.col("before"), F.lit(True))) for m in range(len(MASKS)))
+        *(F.when(F.col("mask") == m, F.coalesce(_seed(m, F.col("h"), F.col("at") - 1) != F.col("before"), F.lit(True))) for m in range(len(MASKS))),
+        F.lit(True),
     )
     places = _seeds(own, "h")
     if known.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
@@ -114,10 +128,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAS
         hits = hits.withColumn("diagonal", F.col("at") - F.col("item_at"))
         hits = hits.join(F.broadcast(items), "item")
     else:
-        found = places.select("doc_id", TEXT_KEY, "at", "seed").join(known.select("item", "seed", "item_at"), "seed")
+        # Only where a run of hits begins: one row for each run, not for each place.
+        sides = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
+        last = F.coalesce(*(F.when(F.col("mask") == m, _seed(m, F.col("h"), F.col("at") - 1)) for m in range(len(MASKS))))
+        dealt = dealt.select("doc_id", TEXT_KEY, "at", "seed", "salt", last.alias("last"))
+        found = dealt.join(sides, ["seed", "salt"]).where(F.coalesce(F.col("last") != F.col("before"), F.lit(True)))
         found = found.select(F.col("doc_id").alias("id"), F.col(TEXT_KEY).alias("key"), "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
         same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col(TEXT_KEY) == F.col("key"))
-        hits = own.join(found, same).drop("id", "key").join(items, "item")
+        hits = own.distinct().join(found, same).drop("id", "key").join(items, "item")
     best = hits.select("doc_id", TEXT_KEY, "item_id", "diagonal", _aligned(F.col("h"), F.col("g"), F.col("diagonal")).alias("s"))
     best = best.where("s.over")
     first = F.col("diagonal") + F.col("s.begin")
@@ -130,9 +149,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAS
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text overlaps with no item, with all their columns."""
-    keys = leaks(docs, benchmark).select(TEXT_KEY).distinct()
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    kept = docs.withColumn(TEXT_KEY, F.xxhash64("text")).join(keys, TEXT_KEY, "left_anti")
+    """The rows of ``docs`` whose text overlaps with no item, with all their columns.
+
+    Null and empty texts stay, as do all rows of an empty benchmark. Copies of a leaking text all go,
+    since each row is searched: a row goes by its id and its text's hash, so no other id is touched.
+    """
+    scratch = Scratch(docs.sparkSession, "leaks")
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col(TEXT_KEY).alias("__key")).distinct()
+    found = scratch.save(found, "found")
+    if found.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        found = F.broadcast(found)
+    keyed = docs.withColumn(TEXT_KEY, F.xxhash64("text"))
+    kept = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed[TEXT_KEY] == F.col("__key")), "left_anti")
     return kept.select(*(kept[c] for c in docs.columns))

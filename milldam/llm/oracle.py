@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import MIN_ITEM, MIN_SHARE, MIN_SPAN, SHORTEST
 from .licenses import BASE, TEMPLATES
 from .mixing import MOST_EPOCHS, SHARE, SOURCE_WEIGHTS, SYMBOLS
 
@@ -44,6 +45,44 @@ p as (
   from k join e on k.source is not distinct from e.source)
 select doc_id, source, size, source_size, target, epochs * size + least(greatest(rest - prefix, 0), size) as taken from p"""
 
+_SHARE = round(100 * MIN_SHARE)
+
+#: Every diagonal on which document and item share a word, without seeds.
+LEAKS = f"""with d as (
+  select distinct doc_id, text, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as h from documents),
+dn as (select *, row_number() over () as row from d),
+g as (select distinct item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as g from benchmark),
+gn as (select *, row_number() over () as item, len(g) as n, least({MIN_SPAN}, len(g)) as span from g where len(g) > 0),
+dw as (select row, unnest(h) as word, unnest(range(len(h))) as at from dn),
+gw as (select item, unnest(g) as word, unnest(range(len(g))) as at from gn),
+diagonal as (
+  select dw.row, gw.item, dw.at - gw.at as diagonal from dw join gw using (word) join gn on gn.item = gw.item
+  group by all having 100 * count(*) >= {_SHARE} * any_value(span)),
+word as (
+  select row, item, item_id, n, span, diagonal, unnest(range(n + 1)) as k, unnest(list_transform(range(n + 1), lambda k: case when k = 0 then 0
+    when diagonal + k >= 1 and h[diagonal + k] = g[k] then 1 else -1 end)) as same
+  from diagonal join gn using (item) join dn using (row) where n >= {SHORTEST} or (n = len(h) and diagonal = 0)),
+sums as (
+  select *, sum(case same when 1 then 1 when 0 then 0 else -2 end) over w as s, sum(greatest(same, 0)) over w as m,
+    sum(case same when 1 then {100 - _SHARE} when 0 then 0 else -{_SHARE} end) over w as t
+  from word window w as (partition by row, item, diagonal order by k)),
+low as (
+  select *, min(t) over w as t_low, arg_min(k, (s, -k)) over w as k_low, min(s) over w as s_low
+  from sums window w as (partition by row, item, diagonal order by k)),
+over_ as (
+  select a.row, a.item, a.diagonal from low a join low b on a.row = b.row and a.item = b.item and a.diagonal = b.diagonal and b.k = a.k - a.span
+  group by a.row, a.item, a.diagonal, a.n having max(a.t - b.t_low) >= 0 and (a.n >= {MIN_ITEM} or max(a.m) = a.n)),
+top as (
+  select a.row, a.item, a.item_id, a.diagonal, max(struct_pack(run := a.s - b.s_low, e := -a.k, b := b.k_low)) as top
+  from low a join low b on a.row = b.row and a.item = b.item and a.diagonal = b.diagonal and b.k = a.k - 1 group by all),
+stretch as (
+  select top.row, top.item, top.item_id, -top.e - top.b as n_words, e.m - b.m as n_matched, top.diagonal + top.b as first_word
+  from top join over_ using (row, item, diagonal)
+  join low e on e.row = top.row and e.item = top.item and e.diagonal = top.diagonal and e.k = -top.e
+  join low b on b.row = top.row and b.item = top.item and b.diagonal = top.diagonal and b.k = top.b),
+best as (select row, item_id, max(struct_pack(m := n_matched, w := -n_words, f := -first_word)) as b from stretch group by all)
+select doc_id, item_id, (-b.w)::int as n_words, b.m::int as n_matched, (-b.f)::int as first_word from best join dn using (row)"""
+
 
 def _licenses() -> str:
     split = [(label, phrase.split(), whole.split()) for label, phrase, whole in TEMPLATES]
@@ -74,4 +113,4 @@ from w left join hit using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": NEAR_DUPLICATES, "op4_licenses": _licenses(), "op10_mix": MIX}
+    return {"op1_decontaminate": LEAKS, "op2_near_duplicates": NEAR_DUPLICATES, "op4_licenses": _licenses(), "op10_mix": MIX}

@@ -140,13 +140,6 @@ def test_context_values(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
-def test_long_value():
-    """Beyond LONGEST characters the rest counts as brute force."""
-    value = "ab" * 4500
-    want = secrets.guess_bits(value[: secrets.LONGEST]) + secrets._class_bits(value) * (9000 - secrets.LONGEST)
-    assert secrets.guess_bits(value) == pytest.approx(want)
-
-
 def plain_bits(value):
     """The minimum over all segmentations into listed pieces, forwards."""
     char, ends = secrets._class_bits(value), {}
