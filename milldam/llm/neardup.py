@@ -31,11 +31,13 @@ TREES = 2
 ROOTS = 4
 CHILDREN = 2
 DEPTH = 8
-#: Nodes up to this many classes are compared at once; so are larger ones where that takes at most
-#: WORK comparisons, and those that hardly shrink from their parent.
+#: Nodes up to this many classes are compared at once; so are larger ones with few classes outside
+#: their commonest label, which takes less than branching them on. The rest is branched down to DEPTH.
 SMALL = 200
-WORK = 1 << 20
-SHRINK = 0.7
+OUTSIDE = 1_024
+#: Nodes with more than one of so many parts of all rows are hot: there are at most as many of them,
+#: so they are broadcast, and their rows are joined where they lie.
+HOT_PARTS = 10_000
 #: Sides of the blocks in which large nodes are compared.
 BLOCK_OUTSIDE, BLOCK_ALL = 512, 2048
 #: Ids that may be broadcast to pick texts (8 bytes each); beyond it the texts are shuffled instead.
@@ -43,6 +45,8 @@ BROADCAST_IDS = 1_000_000
 #: Pairs whose sets are in memory at once when they are confirmed.
 CONFIRM_ROWS = 256
 TEXT_KEY = "__text_key"
+#: The two halves of a set's name.
+NAME = ["c0", "c1"]
 
 _rng = np.random.default_rng(8021)
 _XOR = _rng.integers(0, 2**63, size=POSITIONS, dtype=np.uint64)
@@ -81,15 +85,17 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray
     return out[fresh], kept[to]
 
 
-def class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set (int64); 0 for empty sets."""
-    out = np.zeros(len(at) - 1, dtype=np.uint64)
+def set_names(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit name of each set (two int64); zeros for empty sets."""
+    out = np.zeros((2, len(at) - 1), dtype=np.uint64)
     full = np.flatnonzero(at[1:] > at[:-1])
     if len(full):
-        a = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][full])
-        b = np.bitwise_xor.reduceat(mix(sets + np.uint64(0x14057B7EF767814F)), at[:-1][full])
-        out[full] = mix(a + mix(b + (at[1:] - at[:-1])[full].astype(np.uint64))) | np.uint64(1)
-    return out.view(np.int64)
+        n = (at[1:] - at[:-1])[full].astype(np.uint64)
+        for half, key in enumerate((0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)):
+            a = np.add.reduceat(mix(sets ^ np.uint64(key)), at[:-1][full])
+            b = np.bitwise_xor.reduceat(mix(sets + np.uint64(0x14057B7EF767814F + half)), at[:-1][full])
+            out[half, full] = mix(a + mix(b + n)) | np.uint64(1)
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -120,10 +126,11 @@ def _profile(k: int):
                 sk = sketches(sig)
                 flat = pa.array(sig.view(np.int32).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array((at[1:] - at[:-1])), pa.array(class_ids(sets, at))]
+                    [ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), pa.array((at[1:] - at[:-1]))]
+                    + [pa.array(half) for half in set_names(sets, at)]
                     + [pa.array(np.ascontiguousarray(sk[:, j])) for j in range(4)]
                     + [pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * POSITIONS), flat)],
-                    names=["doc_id", TEXT_KEY, "n_shingles", "cls", "s0", "s1", "s2", "s3", "sig"],
+                    names=["doc_id", TEXT_KEY, "row", "n_shingles", *NAME, "s0", "s1", "s2", "s3", "sig"],
                 )
 
     return run
@@ -135,7 +142,7 @@ def _named(k: int):
             texts = batch.column(0)
             for lo, hi, data, ends in blocks(texts):
                 sets, at = shingle_sets(data, ends, k)
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, at)), texts.slice(lo, hi - lo)], names=["cls", "text"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, set_names(sets, at)), texts.slice(lo, hi - lo)], names=[*NAME, "text"])
 
     return run
 
@@ -173,14 +180,35 @@ def _likely(x: str, y: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_agree(x, y) >= _least(percent))
 
 
+def _row_key() -> Column:
+    """What a class finds one of its rows by, null ids too; a row that is found by chance has another set's name."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(cls, text) of the classes in ``wanted`` (cls)."""
-    ids = scratch.save(classes.select("cls", F.col("rep").alias("doc_id")).join(wanted, "cls", "left_semi"), "ids")
-    pick = ids.select("doc_id").distinct()
+    ids = scratch.save(classes.select("cls", *NAME, "row").join(wanted, "cls", "left_semi"), "ids")
+    pick = ids.select("row").distinct()
     if ids.count() <= BROADCAST_IDS:
         pick = F.broadcast(pick)
-    texts = docs.join(pick, "doc_id", "left_semi").select("text").mapInArrow(_named(k), "cls long, text string")
-    return texts.join(ids.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    texts = docs.withColumn("row", _row_key()).join(pick, "row", "left_semi").select("text").mapInArrow(_named(k), "c0 long, c1 long, text string")
+    return texts.join(ids.select("cls", *NAME), NAME).select("cls", "text").dropDuplicates(["cls"])
+
+
+def _at_nodes(rows: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """``rows`` (node, cls, ..) with the columns of their node in ``nodes`` (node, n, ..); rows of no node drop out.
+
+    Rows of hot nodes meet the broadcast node in place, and go anywhere in the join of all others.
+    """
+    more = [c for c in nodes.columns if c != "node"]
+    least = total // HOT_PARTS + SMALL
+    hot = nodes.where(F.col("n") > least).select(F.col("node").alias("__hot"), *(F.col(c).alias(f"__h_{c}") for c in more))
+    cold = nodes.where(F.col("n") <= least).select(F.col("node").alias("__cold"), *(F.col(c).alias(f"__c_{c}") for c in more))
+    met = rows.join(F.broadcast(hot), F.col("node") == F.col("__hot"), "left")
+    met = met.withColumn("__key", F.when(F.col("__hot").isNull(), F.col("node")).otherwise(F.xxhash64("node", "cls")))
+    met = met.join(cold, F.col("__key") == F.col("__cold"), "left").where("__hot is not null or __cold is not null")
+    at = [F.when(F.col("__hot").isNotNull(), F.col(f"__h_{c}")).otherwise(F.col(f"__c_{c}")).alias(c) for c in more]
+    return met.select(*rows.columns, *at)
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -331,82 +359,88 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     scratch = Scratch(spark, "neardup")
     keyed = TEXT_KEY in docs.columns
     key = F.col(TEXT_KEY) if keyed else F.lit(0).cast("long").alias(TEXT_KEY)
-    profile = docs.select(F.col("doc_id").cast("long"), "text", key).mapInArrow(
-        _profile(k), f"doc_id long, {TEXT_KEY} long, n_shingles long, cls long, s0 long, s1 long, s2 long, s3 long, sig array<int>"
+    profile = docs.select(F.col("doc_id").cast("long"), "text", key, _row_key().alias("row")).mapInArrow(
+        _profile(k), f"doc_id long, {TEXT_KEY} long, row long, n_shingles long, c0 long, c1 long, s0 long, s1 long, s2 long, s3 long, sig array<int>"
     )
     docs = docs.select("doc_id", "text")
     profile = scratch.save(profile, "profile")
     per_class = ["n_shingles", "s0", "s1", "s2", "s3"]
-    classes = profile.where("cls != 0").groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in per_class), F.first("sig").alias("sig")
-    )
+    # Equal sets are one class; its number is drawn once, so that no two classes share it.
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
+    classes = profile.where("n_shingles > 0").groupBy(*NAME).agg(head, *(F.first(c).alias(c) for c in per_class), F.first("sig").alias("sig"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cls"), *NAME, F.col("head.doc_id").alias("rep"), F.col("head.row").alias("row"), *per_class, "sig")
     classes = scratch.save(classes, "classes")
     labels = _sweeps(docs, classes, k, percent, scratch)
-    member = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    member = classes.select("cls", *NAME, "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = member.groupBy("label").agg(F.min("rep").alias("component"))
-    member = scratch.save(member.join(smallest, "label").select("cls", "component"), "members")
+    member = scratch.save(member.join(smallest, "label").select(*NAME, "component", "label"), "members")
     scratch.keep(profile, member)
-    out = profile.select("doc_id", TEXT_KEY, "n_shingles", "cls").join(member, "cls", "left")
-    component = F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    out = profile.select("doc_id", TEXT_KEY, "n_shingles", *NAME).join(member, NAME, "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     kept = F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull())
-    own = [TEXT_KEY] if keyed else []
+    own = [TEXT_KEY, "label"] if keyed else []
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *own)
 
 
 def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """(cls, label) of the classes that have links: one label for each component."""
     sketch = ["n_shingles", "s0", "s1", "s2", "s3"]
+    total = classes.count() * TREES * ROOTS
 
     def roots(table: DataFrame, more: list[str]) -> DataFrame:
         """TREES * ROOTS nodes of every class; each tree has positions of its own at its root."""
-        nodes = [F.xxhash64(F.lit(t), F.lit(j), F.col("sig")[t * ROOTS + j]) for t in range(TREES) for j in range(ROOTS)]
+        nodes = [F.xxhash64(F.lit(t), F.lit(j), F.col("sig")[t * (POSITIONS // TREES) + j]) for t in range(TREES) for j in range(ROOTS)]
         return table.select(F.posexplode(F.array(*nodes)).alias("root", "node"), "cls", *sketch, *more)
 
     # First sweep: every class against the pivot of its root nodes.
-    nodes = roots(classes, [])
-    pivots = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("cls", *sketch)).alias("p")).where("n > 1")
-    met = nodes.alias("x").join(pivots.select("node", "p.*").alias("y"), "node")
+    nodes = roots(classes, ["c0"])
+    pivots = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("c0", "cls", *sketch)).alias("y")).where("n > 1")
+    met = _at_nodes(nodes.select("node", "cls", F.struct("cls", *sketch).alias("x")), pivots, total)
     met = met.where((F.col("x.cls") != F.col("y.cls")) & _likely("x", "y", percent))
-    tried = scratch.save(met.select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b")).distinct(), "tried")
+    a, b = F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")
+    tried = scratch.save(met.select(a, b).distinct(), "tried")
     links = _verify(docs, tried, classes, k, percent, scratch)
     first = components(links, scratch)
 
     # Second sweep: down the trees, where labels still differ.
     marked = classes.join(first.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    state, finals, heavy = roots(marked, ["label"]).withColumn("up", F.lit(1 << 60)), None, None
+    state, finals, heavy = roots(marked, ["label"]), None, None
     for depth in range(1, DEPTH + 1):
         stats = state.groupBy("node").agg(
             F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
         )
         mixed = stats.where("lo != hi").select("node", "n", F.col("lo").alias("hub"))
-        level = scratch.save(state.join(mixed, "node"), f"level{depth}")
+        level = scratch.save(_at_nodes(state, mixed, total), f"level{depth}")
         done = level.where(F.col("n") <= SMALL)
         finals = done if finals is None else finals.unionByName(done)
         large = level.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         # In large nodes the hub is the commonest label; only what is outside it is compared with all.
-        votes = large.groupBy("node", "label").count().groupBy("node").agg(F.max(F.struct("count", "label")).alias("top"))
-        large = large.drop("hub").join(votes, "node").withColumn("hub", F.col("top.label")).withColumn("n_hub", F.col("top.count"))
-        last = ((F.col("n") - F.col("n_hub")) * F.col("n") <= WORK) | (F.col("n") >= SHRINK * F.col("up")) | F.lit(depth == DEPTH)
-        large = scratch.save(large.withColumn("last", last).drop("top"), f"large{depth}")
+        votes = large.groupBy("node", "label").count().groupBy("node").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("top"))
+        votes = votes.select("node", "n", F.col("top.label").alias("hub"), F.col("top.count").alias("n_hub"))
+        last = (F.col("n") - F.col("n_hub") <= OUTSIDE) | F.lit(depth == DEPTH)
+        large = scratch.save(_at_nodes(large.drop("n", "hub"), votes, total).withColumn("last", last), f"large{depth}")
         ended = large.where("last").drop("last")
         heavy = ended if heavy is None else heavy.unionByName(ended)
-        large = large.where("not last").withColumn("up", F.col("n")).drop("n", "hub", "n_hub", "last").join(classes.select("cls", "sig"), "cls")
+        large = large.where("not last").drop("n", "hub", "n_hub", "last").join(classes.select("cls", "sig"), "cls")
         if depth == DEPTH or large.isEmpty():
             break
-        pick = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(POSITIONS)).cast("int")
-        skip = F.pmod(F.xxhash64("node", F.lit(-depth)), F.lit(POSITIONS - 1)).cast("int") + 1
-        places = [F.pmod(pick + skip * c, F.lit(POSITIONS)) for c in range(CHILDREN)]
+        # A tree has POSITIONS // TREES positions of its own, so the trees are independent.
+        share = POSITIONS // TREES
+        pick = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(share)).cast("int")
+        skip = F.pmod(F.xxhash64("node", F.lit(-depth)), F.lit(share - 1)).cast("int") + 1
+        tree = F.floor(F.col("root") / ROOTS).cast("int")
+        places = [tree * share + F.pmod(pick + skip * c, F.lit(share)) for c in range(CHILDREN)]
         children = [F.xxhash64("node", F.lit(depth), p, F.element_at("sig", p + 1)) for p in places]
-        state = large.select("root", F.explode(F.array(*children)).alias("node"), "cls", *sketch, "label", "up")
+        state = large.select("root", F.explode(F.array(*children)).alias("node"), "cls", *sketch, "label")
     # Large nodes first, those of one root before all others: what they link leaves most other nodes
     # with a single label, and those drop out.
     if heavy is not None:
         for turn in (F.col("root") == 0, F.col("root") > 0):
-            links = links.unionByName(_large_links(docs, _current(heavy.where(turn), first, scratch), classes, k, percent, scratch))
+            links = links.unionByName(_large_links(docs, _current(heavy.where(turn), first, total, scratch), classes, k, percent, scratch))
             first = components(links, scratch)
-        finals = _current(finals, first, scratch)
+        finals = _current(finals, first, total, scratch)
     outside = finals.where(F.col("label") != F.col("hub")).alias("x")
     pair = outside.join(finals.alias("y"), "node").where(
         (F.col("x.label") != F.col("y.label"))
@@ -419,7 +453,7 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
     return components(links, scratch).withColumnRenamed("id", "cls")
 
 
-def _current(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def _current(nodes: DataFrame, labels: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """``nodes`` with the labels of now, their size and commonest label; nodes of one label are gone."""
     now = labels.select(F.col("id").alias("cls"), F.col("label").alias("now"))
     rows = nodes.select("node", "cls", "n_shingles", "s0", "s1", "s2", "s3", "label").join(now, "cls", "left")
@@ -427,24 +461,33 @@ def _current(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame
     votes = rows.groupBy("node", "label").count().groupBy("node")
     votes = votes.agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("top"))
     votes = votes.select("node", "n", F.col("top.label").alias("hub"), F.col("top.count").alias("n_hub")).where("n_hub < n")
-    return scratch.save(rows.join(votes, "node"), "nodes")
+    return scratch.save(_at_nodes(rows, votes, total), "nodes")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document represents its component, with all their columns.
 
-    Rows that repeat both id and text stay once. Rows without an id or without words stay.
+    Rows that repeat both id and text stay once. Of a component without any id one text stays, and of
+    its copies one row. Rows without words (null, empty, blank) stay, but for repeats of one id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "keepone")
     keyed = docs.withColumn(TEXT_KEY, F.xxhash64("text"))
     marks = scratch.save(near_duplicates(keyed, k, percent), "marks")
-    gone = marks.where("not kept").select("doc_id", TEXT_KEY).distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = keyed.join(gone, ["doc_id", TEXT_KEY], "left_anti")
-    again = marks.where("doc_id is not null").groupBy("doc_id", TEXT_KEY).count().where("count > 1").select("doc_id", TEXT_KEY)
+    nameless = marks.where("doc_id is null and component_id is null and n_shingles > 0")
+    heads = nameless.groupBy("label").agg(F.min(TEXT_KEY).alias("head"))
+    others = nameless.join(heads, "label").where(F.col(TEXT_KEY) != F.col("head"))
+    gone = marks.where("not kept").select("doc_id", TEXT_KEY).unionByName(others.select("doc_id", TEXT_KEY)).distinct()
+    again = marks.where("doc_id is not null or n_shingles > 0").groupBy("doc_id", TEXT_KEY).count().where("count > 1").select("doc_id", TEXT_KEY)
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        other = keys.select(F.col("doc_id").alias("__id"), F.col(TEXT_KEY).alias("__key"))
+        other = F.broadcast(other) if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else other
+        return rows.join(other, rows["doc_id"].eqNullSafe(F.col("__id")) & (rows[TEXT_KEY] == F.col("__key")), how)
+
+    kept = matched(keyed, scratch.save(gone, "gone"), "left_anti")
+    again = scratch.save(again, "again")
     if not again.isEmpty():
-        single = kept.join(again, ["doc_id", TEXT_KEY], "left_anti")
-        kept = single.unionByName(kept.join(again, ["doc_id", TEXT_KEY], "left_semi").dropDuplicates(["doc_id", TEXT_KEY]))
+        single = matched(kept, again, "left_anti")
+        kept = single.unionByName(matched(kept, again, "left_semi").dropDuplicates(["doc_id", TEXT_KEY]))
     return kept.select(*(kept[c] for c in docs.columns))

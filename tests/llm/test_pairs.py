@@ -58,6 +58,22 @@ def test_awkward_rows(spark, k):
     assert found(near_duplicates(frame(spark, rows, clash=True), k, 80)) == brute(rows, k, 80)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_copies_without_ids(spark, k):
+    """Null ids on either side of a link, between ids, and alone; repeated ids with other texts."""
+    r = random.Random(9)
+    body, other, lone = prose(r, 80), prose(r, 70), prose(r, 90)
+    rows = [(5, body), (None, body + " tail"), (None, body + " tail end"), (9, body + " tail end of it"), (9, other), (3, other + " x"), (None, other)]
+    rows += [(None, lone), (None, lone), (None, lone + " y"), (None, lone + " y z"), (None, ""), (None, "")]
+    rows = [(i, t, None, None, None) for i, t in rows]
+    assert found(near_duplicates(frame(spark, rows), k, 80)) == brute(rows, k, 80)
+    out = sorted(((x["doc_id"], x["text"]) for x in keep_one(frame(spark, rows), k, 80).collect()), key=repr)
+    kept = [x for x in out if x[1]]
+    assert [x for x in out if not x[1]] == [(None, "")] * 2
+    assert [x for x in kept if x[0] is not None] == [(3, other + " x"), (5, body)]
+    assert len(kept) == 3 and kept[-1][1].startswith(lone)
+
+
 def edited(r, words, n):
     words = list(words)
     for _ in range(n):
@@ -84,7 +100,7 @@ def test_deep_trees_and_blocks(spark, monkeypatch):
     """Tiny limits send the same rows through branching and through blocks of large nodes."""
     rows = corpus(5, 3, 50, 9)
     want = brute(rows, 2, 80)
-    for name, value in (("SMALL", 4), ("WORK", 30), ("BLOCK_OUTSIDE", 7), ("BLOCK_ALL", 11), ("BROADCAST_IDS", 0)):
+    for name, value in (("SMALL", 4), ("OUTSIDE", 6), ("HOT_PARTS", 400), ("BLOCK_OUTSIDE", 7), ("BLOCK_ALL", 11), ("BROADCAST_IDS", 0)):
         monkeypatch.setattr(neardup, name, value)
     assert found(near_duplicates(frame(spark, rows), 2, 80)) == want
 
