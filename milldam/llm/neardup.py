@@ -35,6 +35,9 @@ DEPTH = 8
 #: their commonest label, which takes less than branching them on. The rest is branched down to DEPTH.
 SMALL = 200
 OUTSIDE = 1_024
+#: A node that keeps SHRINK of its parent would multiply its rows from level to level (twice SHRINK each),
+#: so it is compared already with WIDE classes outside, which costs a row about as much as all levels.
+SHRINK, WIDE = 0.7, 1 << 16
 #: Nodes with more than one of so many parts of all rows are hot: there are at most as many of them,
 #: so they are broadcast, and their rows are joined where they lie.
 HOT_PARTS = 10_000
@@ -404,7 +407,7 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
 
     # Second sweep: down the trees, where labels still differ.
     marked = classes.join(first.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    state, finals, heavy = roots(marked, ["label"]), None, None
+    state, finals, heavy = roots(marked, ["label"]).withColumn("up", F.lit(1 << 60)), None, None
     for depth in range(1, DEPTH + 1):
         stats = state.groupBy("node").agg(
             F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
@@ -419,11 +422,12 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
         # In large nodes the hub is the commonest label; only what is outside it is compared with all.
         votes = large.groupBy("node", "label").count().groupBy("node").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("top"))
         votes = votes.select("node", "n", F.col("top.label").alias("hub"), F.col("top.count").alias("n_hub"))
-        last = (F.col("n") - F.col("n_hub") <= OUTSIDE) | F.lit(depth == DEPTH)
+        outside = F.col("n") - F.col("n_hub")
+        last = (outside <= F.when(F.col("n") >= SHRINK * F.col("up"), max(OUTSIDE, WIDE)).otherwise(OUTSIDE)) | F.lit(depth == DEPTH)
         large = scratch.save(_at_nodes(large.drop("n", "hub"), votes, total).withColumn("last", last), f"large{depth}")
         ended = large.where("last").drop("last")
         heavy = ended if heavy is None else heavy.unionByName(ended)
-        large = large.where("not last").drop("n", "hub", "n_hub", "last").join(classes.select("cls", "sig"), "cls")
+        large = large.where("not last").withColumn("up", F.col("n")).drop("n", "hub", "n_hub", "last").join(classes.select("cls", "sig"), "cls")
         if depth == DEPTH or large.isEmpty():
             break
         # A tree has POSITIONS // TREES positions of its own, so the trees are independent.
@@ -433,7 +437,7 @@ def _sweeps(docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch:
         tree = F.floor(F.col("root") / ROOTS).cast("int")
         places = [tree * share + F.pmod(pick + skip * c, F.lit(share)) for c in range(CHILDREN)]
         children = [F.xxhash64("node", F.lit(depth), p, F.element_at("sig", p + 1)) for p in places]
-        state = large.select("root", F.explode(F.array(*children)).alias("node"), "cls", *sketch, "label")
+        state = large.select("root", F.explode(F.array(*children)).alias("node"), "cls", *sketch, "label", "up")
     # Large nodes first, those of one root before all others: what they link leaves most other nodes
     # with a single label, and those drop out.
     if heavy is not None:

@@ -100,7 +100,7 @@ def test_deep_trees_and_blocks(spark, monkeypatch):
     """Tiny limits send the same rows through branching and through blocks of large nodes."""
     rows = corpus(5, 3, 50, 9)
     want = brute(rows, 2, 80)
-    for name, value in (("SMALL", 4), ("OUTSIDE", 6), ("HOT_PARTS", 400), ("BLOCK_OUTSIDE", 7), ("BLOCK_ALL", 11), ("BROADCAST_IDS", 0)):
+    for name, value in (("SMALL", 4), ("OUTSIDE", 6), ("WIDE", 30), ("HOT_PARTS", 400), ("BLOCK_OUTSIDE", 7), ("BLOCK_ALL", 11), ("BROADCAST_IDS", 0)):
         monkeypatch.setattr(neardup, name, value)
     assert found(near_duplicates(frame(spark, rows), 2, 80)) == want
 
