@@ -15,8 +15,13 @@ from .store import Scratch
 SOURCE_WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
-#: Rows that the prefix sums of one bucket of keys hold on average.
+#: Rows that the prefix sums of one bucket of keys hold, and the most buckets that there are; beyond
+#: them buckets grow. Keys are counted in STEPS steps to a bucket first, which cut even buckets.
 BUCKET_ROWS = 20_000
+BUCKETS = 4_096
+STEPS = 64
+#: Steps (a bucket and a sum each) that may be broadcast to the documents.
+BROADCAST_STEPS = 1_000_000
 #: Sources whose rows of totals may be broadcast to the documents.
 BROADCAST_SOURCES = 10_000
 SYMBOLS = "#$%&*|!"
@@ -28,23 +33,26 @@ def n_words(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """1 for text without symbol junk, falling to 0.1 as #$%&*|! reach a quarter of the characters."""
+    """1 for plain text, down to 0.1 as #$%&*|! reach a quarter of the characters or lines repeat each other."""
     text = F.coalesce(text, F.lit(""))
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    return F.greatest(F.lit(0.1), 1.0 - 4.0 * symbols / F.greatest(F.length(text), F.lit(1)))
+    lines = F.array_remove(F.split(text, "\n"), "")
+    fresh = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+    fresh = F.when(F.size(lines) > 0, fresh).otherwise(F.lit(1.0))
+    return F.greatest(F.lit(0.1), (1.0 - 4.0 * symbols / F.greatest(F.length(text), F.lit(1))) * fresh)
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) from 52 bits of the id's MD5; the same in every run."""
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from 52 bits of the MD5 of the id (of the text, if that is null); the same in every run."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), name)), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
 def _order(weight: Column | None) -> Column:
     """What the documents of a source are sorted by: the key, then all that tells rows apart."""
     text = F.col("text")
     weight = quality_weight(text) if weight is None else weight
-    key = -F.log(uniform(F.col("doc_id"))) / weight
+    key = -F.log(uniform(F.col("doc_id"), text)) / weight
     return F.struct(key.alias("key"), F.col("doc_id").alias("id"), n_words(text).alias("size"), F.xxhash64("text").alias("text"))
 
 
@@ -80,23 +88,33 @@ def _taken(docs: DataFrame, weight: Column | None) -> tuple[DataFrame, DataFrame
     """The rows with what is taken of them, and each source's row."""
     scratch = Scratch(docs.sparkSession, "mix")
     rows = scratch.save(docs.select("doc_id", "source", _order(weight).alias("order")), "rows")
-    sizes = rows.groupBy("source").agg(F.sum("order.size").alias("source_size"))
-    sources = scratch.save(targets(sizes), "sources")
+    sizes = rows.groupBy("source").agg(F.sum("order.size").alias("source_size"), F.count("*").alias("rows"))
+    sizes = scratch.save(sizes, "sizes")
+    sources = targets(sizes.drop("rows")).join(sizes.select(F.col("source").alias("__s"), "rows"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("epochs", epochs)
     sources = sources.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    n = max(1, -(-rows.count() // BUCKET_ROWS))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("order.key"))) * n), F.lit(n - 1)).alias("bucket")
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    per = max(BUCKET_ROWS, -(-total // BUCKETS))
+    # A key's step is even enough for every weight: no step holds over 6 / steps of a source's rows.
+    sources = scratch.save(sources.withColumn("steps", STEPS * F.ceil(F.col("rows") / per)), "sources")
     s = _light(sources).alias("s")
-    placed = rows.join(s, rows["source"].eqNullSafe(F.col("s.source"))).select(rows["*"], "s.nr", "s.source_size", "s.target", "s.epochs", "s.rest", bucket)
-    sums = placed.groupBy("nr", "bucket").agg(F.sum("order.size").alias("held"))
-    earlier = F.sum("held").over(Window.partitionBy("nr").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("nr", "bucket", F.coalesce(earlier, F.lit(0)).alias("base"))
+    key = F.col("order.key")
+    step = F.floor(key / (1 + key) * F.col("s.steps")).alias("step")
+    placed = rows.join(s, rows["source"].eqNullSafe(F.col("s.source"))).select(rows["*"], "s.nr", "s.source_size", "s.target", "s.epochs", "s.rest", step)
+    counted = placed.groupBy("nr", "step").agg(F.count("*").alias("n"), F.sum("order.size").alias("held"))
+    ahead = Window.partitionBy("nr").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.select(
+        "nr", "step", F.floor(F.coalesce(F.sum("n").over(ahead), F.lit(0)) / per).alias("bucket"), F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before")
+    )
+    steps = counted.withColumn("base", F.min("before").over(Window.partitionBy("nr", "bucket"))).drop("before")
+    steps = scratch.save(steps, "steps")
+    steps = F.broadcast(steps) if steps.count() <= BROADCAST_STEPS else steps
     inside = Window.partitionBy("nr", "bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.col("base") + F.coalesce(F.sum("order.size").over(inside), F.lit(0))
     size = F.col("order.size")
     part = F.least(F.greatest(F.col("rest") - prefix, F.lit(0)), size)
-    out = placed.join(sums, ["nr", "bucket"]).select(
+    out = placed.join(steps, ["nr", "step"]).select(
         "doc_id", "source", "order", size.alias("size"), "source_size", "target", "epochs", part.alias("part"), "nr"
     )
     return out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part")), sources

@@ -26,10 +26,12 @@ from documents d left join n on n.doc_id = d.doc_id left join least_ on least_.d
 
 MIX = f"""with t as (
   select doc_id, source, coalesce(text, '') as text, len(regexp_extract_all(coalesce(text, ''), '{_BLANK}'))::bigint as size,
-    (('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint + 0.5::double) / {2**52}.0::double as u from documents),
+    (('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'text:' || coalesce(text, ''))), 1, 13))::bigint + 0.5::double) / {2**52}.0::double as u,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') as lines from documents),
 k as (
-  select doc_id, source, size,
-    -ln(u) / greatest(0.1::double, 1.0::double - 4.0::double * (length(text) - length(translate(text, '{SYMBOLS}', ''))) / greatest(length(text), 1)) as key from t),
+  select doc_id, source, size, -ln(u) / greatest(0.1::double,
+    (1.0::double - 4.0::double * (length(text) - length(translate(text, '{SYMBOLS}', ''))) / greatest(length(text), 1))
+    * case when len(lines) > 0 then list_unique(lines)::double / len(lines) else 1.0::double end) as key from t),
 s as (select source, sum(size)::bigint as source_size from k group by 1),
 r as (select *, [{", ".join(map(str, SOURCE_WEIGHTS))}][(row_number() over (order by source nulls last) - 1) % {len(SOURCE_WEIGHTS)} + 1] as w from s),
 c as (select *, {MOST_EPOCHS}::double * source_size / w as ratio, row_number() over (order by source nulls last) as nr from r),

@@ -52,10 +52,13 @@ def plain_mix(rows):
         return len(BLANK.findall(t or ""))
 
     def key(row):
-        u = (int(hashlib.md5(f"mix:{'' if row[0] is None else row[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        name = f"text:{row[1] or ''}" if row[0] is None else str(row[0])
+        u = (int(hashlib.md5(f"mix:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         t = row[1] or ""
         symbols = sum(t.count(c) for c in mixing.SYMBOLS)
-        return -math.log(u) / max(0.1, 1 - 4 * symbols / max(1, len(t)))
+        lines = [x for x in t.split("\n") if x]
+        fresh = len(set(lines)) / len(lines) if lines else 1.0
+        return -math.log(u) / max(0.1, (1 - 4 * symbols / max(1, len(t))) * fresh)
 
     total = defaultdict(int)
     for r in rows:
@@ -76,12 +79,36 @@ def test_mix_equals_plain(spark, monkeypatch, limit):
     rows = [(i, *r[1:]) for i, r in enumerate(corpus())]  # ids that tell rows apart
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", limit)
+    rows += [(5000 + i, "same line\n" * 5 + "#$%&*" * i, None, "hot", None) for i in range(30)] + [(None, prose(random.Random(i), 9), None, "a", None) for i in range(30)]
     got = mixing.mix(frame(spark, rows, clash=True)).collect()
     target, want = plain_mix(rows)
     assert sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=repr) == want
     assert {r["source"]: round(r["target"], 6) for r in got} == {s: round(t, 6) for s, t in target.items()}
 
 
+def test_buckets_are_even(spark, monkeypatch):
+    """Keys of every weight fill their buckets alike."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 500)
+    docs = spark.range(40_000).selectExpr("id as doc_id", "case when id % 3 = 0 then '#$%&*|!' else 'plain text' end as text", "'hot' as source")
+    seen = []
+    real = mixing.Scratch.save
+
+    def save(self, df, name):
+        out = real(self, df, name)
+        if name == "steps":
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(mixing.Scratch, "save", save)
+    rows = mixing.mix(docs)
+    assert rows.count() == 40_000
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan
+    steps = seen[0].groupBy("bucket").count().count()
+    assert 70 <= steps <= 81  # 40,000 rows in buckets of 500 and a step more
+
+
 def test_mix_limits(spark):
     got = mixing.mix(frame(spark, corpus())).collect()
     assert len(got) == len(corpus())
