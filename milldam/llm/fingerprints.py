@@ -14,16 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import parallelism
+from .store import Scratch
 from .textops import blocks, mix, powers
 
-#: Levels of the hierarchy, the first whose phrases count, and the sample's size.
-LEVELS = 4
+#: The first level whose phrases count (the last is where a text is one phrase), and the sample's size.
 FIRST = 2
 SAMPLE = 64
+#: Bytes of text in a range of ids, and in what is parsed at once (always whole texts).
+PART_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _toss_table(n: int) -> np.ndarray:
@@ -89,18 +91,21 @@ def _level(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def phrase_samples(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Of each text the SAMPLE smallest distinct names (32 bits) of its phrases from level FIRST on, sorted.
 
-    A text that is one phrase below that level counts with that phrase; an empty text has none.
+    A text is parsed until it is one phrase; if it is so below level FIRST, it counts with that
+    phrase. An empty text has none.
     """
     cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[ends]
-    x, kept = cps.astype(np.uint64) + np.uint64(1), []
-    for level in range(1, LEVELS + 1):
+    x, kept, level = cps.astype(np.uint64) + np.uint64(1), [], 0
+    while level < FIRST or (at[1:] - at[:-1] > 1).any():
+        level += 1
+        open_ = (at[1:] - at[:-1] > 1) | (level <= FIRST)  # texts that were more than one phrase
         x, at = _level(x, at)
         if level >= FIRST:
-            kept.append((mix(x + np.uint64(level)) >> np.uint64(32), at))
+            kept.append((mix(x + np.uint64(level)) >> np.uint64(32), at, open_))
     out = []
     for i in range(len(ends) - 1):
-        own = np.concatenate([names[a[i] : a[i + 1]] for names, a in kept])
+        own = np.concatenate([names[a[i] : a[i + 1]] for names, a, open_ in kept if open_[i]])
         out.append(np.unique(own)[:SAMPLE].astype(np.uint32))
     return out
 
@@ -131,51 +136,70 @@ def _samples(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns to, halo, doc_id, text, in order: a row's next text is the row after it in its part."""
-    held: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        for lo in range(0, batch.num_rows, 1000):
-            some = batch.slice(lo, 1000)
-            to, halo, ids = (some.column(i).to_pylist() for i in range(3))
-            texts = [t or "" for t in some.column(3).to_pylist()]
-            samples = _samples(texts)
-            if held is not None:
-                to, halo, ids, texts, samples = ([a, *b] for a, b in zip(held, (to, halo, ids, texts, samples)))
-            held = tuple(x[-1] for x in (to, halo, ids, texts, samples))
-            pick = [i for i in range(len(to) - 1) if not halo[i] and to[i] == to[i + 1]]
-            edited = [texts[i][: len(texts[i]) - len(texts[i]) // 3] + texts[i + 1][: len(texts[i]) // 3] for i in pick]
-            after = _samples(edited)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[i] for i in pick], pa.int64()),
-                    pa.array([len(texts[i]) for i in pick], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                    pa.array([_encoded(samples[i]) for i in pick], pa.string()),
-                    pa.array([_encoded(x) for x in after], pa.string()),
-                    pa.array([likeness(samples[i], x) for i, x in zip(pick, after)], pa.float64()),
-                    pa.array([likeness(samples[i], samples[i + 1]) for i in pick], pa.float64()),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-
-def _above(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are above ``doc_id``, by binary search."""
-    values = F.array(*(F.lit(b).cast("long") for b in bounds))
-
-    def step(s: Column, _: Column) -> Column:
-        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
-        under = (s["lo"] < s["hi"]) & (F.get(values, mid) <= doc_id)
-        lo = F.when(under, mid + 1).otherwise(s["lo"])
-        hi = F.when((s["lo"] < s["hi"]) & ~under, mid).otherwise(s["hi"])
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    rounds = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
-    return F.lit(len(bounds)) - F.aggregate(rounds, start, step)["lo"]
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Row ranges of about SLICE_BYTES of text."""
+    for lo, hi, _, _ in blocks(batch.column(column), SLICE_BYTES):
+        yield batch.slice(lo, hi - lo)
+
+
+def _edit(text: str, after: str) -> str:
+    n = len(text) // 3
+    return text[: len(text) - n] + after[:n]
+
+
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [f.split()[0] for f in RESULT.split(", ")]
+
+
+def _results(ids: list, texts: list[str], samples: list[np.ndarray], nexts: list[str], next_samples: list[np.ndarray]) -> list[pa.Array]:
+    edited = [_edit(t, u) for t, u in zip(texts, nexts)]
+    after = _samples(edited)
+    return [
+        pa.array(ids, pa.int64()),
+        pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+        pa.array([_encoded(x) for x in samples], pa.string()),
+        pa.array([_encoded(x) for x in after], pa.string()),
+        pa.array([likeness(x, y) for x, y in zip(samples, after)], pa.float64()),
+        pa.array([likeness(x, y) for x, y in zip(samples, next_samples)], pa.float64()),
+    ]
+
+
+HEAD, TAIL = 1, 2
+
+
+def _range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns part, doc_id, text of one range in order: the result of every row but the last, and the
+    first and last row themselves (end HEAD or TAIL), which meet the neighbouring ranges later."""
+
+    def border(end: int, part: int, doc_id: int | None, text: str) -> pa.RecordBatch:
+        empty = [pa.array([doc_id], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
+        return pa.RecordBatch.from_arrays([pa.array([end], pa.int32()), pa.array([part], pa.int32()), pa.array([text], pa.string()), *empty], names=names)
+
+    names, held, part = ["end", "part", "text", *_NAMES], None, 0
+    for batch in (some for whole in batches if whole.num_rows for some in _slices(whole, 2)):
+        ids, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
+        samples = _samples(texts)
+        if held is None:
+            part = batch.column(0)[0].as_py()
+            yield border(HEAD, part, ids[0], texts[0])
+        else:
+            ids, texts, samples = ([a, *b] for a, b in zip(held, (ids, texts, samples)))
+        held = (ids[-1], texts[-1], samples[-1])
+        n = len(ids) - 1
+        if n:
+            columns = _results(ids[:n], texts[:n], samples[:n], texts[1:], samples[1:])
+            flags = [pa.array([0] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string())]
+            yield pa.RecordBatch.from_arrays([*flags, *columns], names=names)
+    if held is not None:
+        yield border(TAIL, part, held[0], held[1])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, text, after: the result of each row."""
+    for batch in (some for whole in batches for some in _slices(whole, 1)):
+        ids, texts, nexts = (batch.column(i).to_pylist() for i in range(3))
+        yield pa.RecordBatch.from_arrays(_results(ids, texts, _samples(texts), nexts, _samples(nexts)), names=_NAMES)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -186,24 +210,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     gives up its last third to the beginning of the next. A null text counts as empty, and an empty
     text has an empty fingerprint. Equal texts have equal fingerprints. An empty table gives no rows.
 
-    Rows go to one range of ids each; a range's first row also goes to the end of the range before.
+    Rows are dealt to ranges of that order, as many as the texts have PART_BYTES. Only the first and
+    last row of a range meet their neighbours in a join.
     """
-    parts = parallelism(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = [i / parts for i in range(1, parts)] or [0.5]
-    found = docs.agg(F.percentile_approx("doc_id", cuts, 100 * parts).alias("b")).first()["b"]
-    bounds = sorted(set(found or []))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_above(F.col("doc_id"), bounds)).cast("int")
-    rows = docs.withColumn("part", part).withColumn("place", place)
-    heads = rows.groupBy("part").agg(F.min("place").alias("head"))  # as many rows as there are ranges
-    have = sorted(r["part"] for r in heads.select("part").collect())
-    before = {p: q for p, q in zip(have, [*have[-1:], *have[:-1]])}
-    previous = F.get(F.array(*(F.lit(before.get(p, 0)) for p in range(len(bounds) + 2))), F.col("part"))
-    rows = rows.join(F.broadcast(heads), "part")
-    own = F.struct(F.col("part").alias("to"), F.lit(0).alias("halo"))
-    copy = F.struct(previous.alias("to"), F.lit(1).alias("halo"))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("place") == F.col("head"), F.array(own, copy)).otherwise(F.array(own))))
-    rows = rows.select("at.to", "at.halo", "doc_id", "text", "place").repartition(parts, "to").sortWithinPartitions("to", "halo", "place")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.select("to", "halo", "doc_id", "text").mapInArrow(_rows, schema)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    ranged = docs.repartitionByRange(1 + size // PART_BYTES, *order).sortWithinPartitions(*order)
+    flags = "end int, part int, text string, "
+    done = scratch.save(ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_range, flags + RESULT), "ranges")
+    heads = done.where(F.col("end") == HEAD).select("part", F.col("text").alias("after"))
+    tails = done.where(F.col("end") == TAIL).select("part", "doc_id", "text")
+    # A row per range: the range that comes after it, the first after the last.
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(everything))
+    turns = heads.select("part").select("part", following.alias("next"))
+    pairs = tails.join(turns, "part").join(heads.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "after")
+    return done.where(F.col("end") == 0).select(*_NAMES).unionByName(pairs.mapInArrow(_pairs, RESULT))

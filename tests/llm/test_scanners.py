@@ -169,27 +169,64 @@ def test_values_are_judged_whole(spark):
 # -- fingerprints --------------------------------------------------------------------------------
 
 
-def plain_edit(rows):
+MASK = (1 << 64) - 1
+
+
+def plain_mix(v):
+    v = (v ^ (v >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    v = (v ^ (v >> 27)) * 0x94D049BB133111EB & MASK
+    return v ^ (v >> 31)
+
+
+def plain_names(x):
+    """The names of a sequence's phrases."""
+    base = 0x9E3779B97F4A7C15
+    return [plain_mix((sum(plain_mix(v) * pow(base, j, 1 << 64) for j, v in enumerate(block)) + len(block)) & MASK) for block in plain_level(x)]
+
+
+def plain_sample(text):
+    x, level, found = [ord(c) + 1 for c in text], 0, set()
+    while x and (level < fingerprints.FIRST or len(x) > 1):
+        level += 1
+        x = plain_names(x)
+        if level >= fingerprints.FIRST:
+            found |= {plain_mix((v + level) & MASK) >> 32 for v in x}
+    return sorted(found)[: fingerprints.SAMPLE]
+
+
+def plain_likeness(x, y):
+    if not x or not y:
+        return float(x == y)
+    smallest = sorted(set(x) | set(y))[: fingerprints.SAMPLE]
+    return sum(v in x and v in y for v in smallest) / len(smallest)
+
+
+def plain_rows(rows):
+    """(doc_id, n_chars, edited_sha256, fingerprint, near_edited, near_next) of rows with ids of their own."""
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    out = []
+    out, sample = [], {t: plain_sample(t) for t in {r[1] or "" for r in rows}}
     for k, (i, t, *_) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         n = len(t) // 3
-        out.append((i, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest(), t))
+        edited = t[: len(t) - n] + after[:n]
+        own = sample[t]
+        near = plain_likeness(own, plain_sample(edited)), plain_likeness(own, sample[after])
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{v:08x}" for v in own), *near))
     return out
 
 
-@pytest.mark.parametrize("count", [1, 2, 9, 60])
-def test_edited_texts(spark, count):
+@pytest.mark.parametrize("count,part", [(1, 1 << 20), (2, 1 << 20), (9, 300), (60, 2_000), (60, 1 << 20)])
+def test_fingerprints_equal_plain(spark, monkeypatch, count, part):
     r = random.Random(count)
-    rows = ([x for x in awkward() if x[0] not in (2, None)] + [(20 + 7 * i, prose(r, r.randint(0, 90)), None, None, None) for i in range(60)])[:count]
+    monkeypatch.setattr(fingerprints, "PART_BYTES", part)
+    rows = [x if x[0] != 8 else (8, prose(r, 300), *x[2:]) for x in awkward() if x[0] not in (2, None)]
+    rows = (rows + [(20 + 7 * i, prose(r, r.randint(0, 90)), None, None, None) for i in range(60)])[:count]
     got = {x["doc_id"]: x for x in fingerprints.fingerprints(frame(spark, rows, clash=True)).collect()}
     assert len(got) == len(rows)
-    for i, n, sha, t in plain_edit(rows):
+    for i, n, sha, own, edited, after in plain_rows(rows):
         x = got[i]
-        assert (x["n_chars"], x["edited_sha256"]) == (n, sha)
-        assert x["fingerprint"] == (fingerprints._encoded(fingerprints._samples([t])[0]))
-        assert 0 <= x["near_edited"] <= 1 and 0 <= x["near_next"] <= 1
+        assert (x["n_chars"], x["edited_sha256"], x["fingerprint"]) == (n, sha, own)
+        assert (x["near_edited"], x["near_next"]) == pytest.approx((edited, after))
 
 
 def test_repeated_and_null_ids(spark):
