@@ -32,8 +32,8 @@ LETTERS = 60
 DIGITS = 16
 #: A text is parsed in stretches of so many symbols, which bounds the lanes whatever its length.
 STRETCH = 512
-#: Texts up to this many symbols are parsed from every start, which settles ties.
-SHORT = 48
+#: The first stretch of every text is parsed from so many starts and counts with their mean, which settles ties.
+STARTS = 8
 UNKNOWN = "und"
 
 
@@ -179,12 +179,15 @@ class LanguageModel:
         place = np.concatenate([[0], np.cumsum(keep)])[at]
         sym = sym[keep]
         n = place[1:] - place[:-1]
-        short = (n <= SHORT) & (n > 0)
-        parts = np.where(short, n, -(-n // STRETCH))
-        owner = np.repeat(np.arange(len(n)), parts)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = place[owner] + nth * np.where(short[owner], 1, STRETCH)
-        stop = np.minimum(place[owner + 1], start + STRETCH)
+        starts, parts = np.minimum(n, STARTS), -(-n // STRETCH)
+        lanes_of = starts + np.maximum(parts - 1, 0)
+        owner = np.repeat(np.arange(len(n)), lanes_of)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of)
+        own, some = place[owner], starts[owner]
+        first_ = nth < some  # the first stretch from one of its starts; else a later stretch
+        start = own + np.where(first_, nth, (nth - some + 1) * STRETCH)
+        stop = np.minimum(place[owner + 1], np.where(first_, own, start) + STRETCH)
+        share = np.where(first_, 1.0 / np.maximum(some, 1), 1.0)
         total = np.zeros((len(self.languages), len(n)))
         order = np.argsort(start - stop, kind="stable")
         padded = np.concatenate([sym, np.zeros(STRETCH, dtype=np.uint8)])
@@ -196,8 +199,7 @@ class LanguageModel:
             lanes[steps >= length] = 0
             phrases = self._parse(lanes)
             for k in range(len(self.languages)):
-                total[k] += np.bincount(owner[some], weights=phrases[k], minlength=len(n))
-        total[:, short] /= n[short]
+                total[k] += np.bincount(owner[some], weights=phrases[k] * share[some], minlength=len(n))
         return (total * np.array(self.bits)[:, None]).T, letters
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from .learning import Adam, fold, labelled_sample, logistic_fit, sigmoid, with_s
 from .textops import LOWER, NOT_BLANK, blocks, hash_spans, mix, spans
 
 MODULUS, HELD = 3, 1
-#: Lines of a training document; longer documents are left out of the sample, never of the scoring.
+#: Lines that a training document gives from its start; all lines are scored.
 SAMPLE_LINES = 120
 ROUNDS, STEPS = 3, 80
 
@@ -137,8 +137,8 @@ class QualityModel:
         for text, y in sample:
             raw = text.encode()
             x, n, at = line_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            if 0 < len(x) <= SAMPLE_LINES:
-                parts.append((x, n))
+            if len(x):
+                parts.append((x[:SAMPLE_LINES], n[:SAMPLE_LINES]))
                 labels.append(y)
         y = np.array(labels, dtype=float)
         if not len(y) or y.min() == y.max():
@@ -201,11 +201,14 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more, with all their columns."""
+    """The rows of ``docs`` that score 0.5 or more, with all their columns, repeats and null ids too.
+
+    Null and empty texts score the training sample's share of good rows; an empty table gives no rows.
+    """
     return scored(docs, labels, "__quality").where("__quality >= 0.5").drop("__quality")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
+    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text); see scored for awkward rows."""
     out = scored(docs.select("doc_id", "text"), labels)
     return out.select("doc_id", (fold(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

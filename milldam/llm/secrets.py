@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .learning import with_scores
@@ -29,13 +30,13 @@ _ASSIGN_KEYS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apike
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = np.zeros(256, dtype=bool)
 _HEX[[*b"0123456789abcdef"]] = True
-_BEFORE = re.compile(
-    rb"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|signing|encryption)[_-]?key|auth(?:orization)?|credentials?|cred|login|bearer)"
-    rb"[A-Za-z0-9_-]{0,24}[\"'\]]?[\x20\t]*:?$"
+_KEY_WORD = re.compile(
+    rb"(?i)pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|signing|encryption)[_-]?key|auth(?:orization)?|credentials?|cred|login|bearer"
 )
+_KEY_CHARS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _AFTER = re.compile(rb"[=>]?[\x20\t]*(?:(?i:bearer|basic)[\x20\t]+)?[\"'`]?([^\x00-\x20\"'`,;<>()\[\]{}\x7F-\xFF]{6,})")
 
-#: Fixed words, commonest first; a word's cost is the logarithm of its place.
+#: Words that rank first, commonest first; a word's cost is the logarithm of its place. The corpus' own follow.
 WORDS = (
     "password pass word admin secret login welcome letmein monkey dragon master hello freedom shadow sunshine princess football "
     "baseball superman batman michael jordan charlie test testing example sample default changeme change me user guest root system "
@@ -45,8 +46,21 @@ WORDS = (
     "hidden removed love summer winter spring autumn monday friday january december google facebook github config setting settings "
     "production staging develop development env environment variable name file path url http https www com org net"
 ).split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST_WORD = max(map(len, WORDS))
+#: Documents that a word must stand in to enter the dictionary, its length, and the words that enter.
+LEAST_DOCUMENTS, WORD_LENGTH, DICTIONARY = 20, (3, 20), 5_000
+
+
+class Dictionary:
+    """Ranks of the fixed words and, after them, of ``learned`` words, commonest first."""
+
+    def __init__(self, learned: list[str] = ()):
+        self.rank: dict[str, int] = {}
+        for w in [*WORDS, *learned]:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+
+_FIXED = Dictionary()
 _PLAIN = str.maketrans("@4301$5!7", "aaeoissit")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {}
@@ -71,7 +85,7 @@ def _class_bits(value: str) -> float:
     return math.log2(max(size, 2))
 
 
-def _fixed(value: str) -> Iterator[tuple[int, int, float]]:
+def _fixed(value: str, words: Dictionary) -> Iterator[tuple[int, int, float]]:
     """Start, end and bits, by start, of every cheap span but keyboard walks: a bounded number at each place."""
     low, n = value.lower(), len(value)
     plain = low.translate(_PLAIN)
@@ -88,9 +102,9 @@ def _fixed(value: str) -> Iterator[tuple[int, int, float]]:
     for i in range(n):
         if value[i] in "_-. /":
             yield i, i + 1, 2.0
-        for j in range(i + 2, min(n, i + _LONGEST_WORD) + 1):
+        for j in range(i + 2, min(n, i + words.longest) + 1):
             for text, more in ((low, 0.0), (plain, 2.0)):
-                if (rank := _RANK.get(text[i:j])) is not None:
+                if (rank := words.rank.get(text[i:j])) is not None:
                     own = value[i:j]
                     case = 0.0 if own == own.lower() else 1.0 if own == own.upper() or own == own.capitalize() else float(j - i)
                     yield i, j, math.log2(rank) + 1 + more + case
@@ -161,18 +175,18 @@ class _Walks:
         return cost(kept[-1][0], end) if kept else math.inf
 
 
-def _pieces(value: str) -> list[tuple[int, int, float]]:
+def _pieces(value: str, words: Dictionary = _FIXED) -> list[tuple[int, int, float]]:
     """Start, end and bits of every span that is cheaper than brute force."""
     walks = _Walks(value)
-    return [*_fixed(value), *((i, j, walks.bits(i, j)) for i, b in enumerate(walks.begins) if b for j in range(i + 4, walks.stop[i] + 1))]
+    return [*_fixed(value, words), *((i, j, walks.bits(i, j)) for i, b in enumerate(walks.begins) if b for j in range(i + 4, walks.stop[i] + 1))]
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, words: Dictionary = _FIXED) -> float:
     """The cheapest segmentation of ``value``, in bits; each piece after the first costs one bit more.
 
     Time grows with the length (and the logarithm of the longest walk).
     """
-    char, walks, fixed = _class_bits(value), _Walks(value), _fixed(value)
+    char, walks, fixed = _class_bits(value), _Walks(value), _fixed(value, words)
     ahead: dict[int, float] = {}  # the least cost of fixed pieces that end there
     best, brute = [0.0], [math.inf]  # any last piece; a brute-force last piece
     piece = next(fixed, None)
@@ -187,7 +201,24 @@ def guess_bits(value: str) -> float:
     return best[-1]
 
 
-def find_spans(raw: bytes, hexes: list[tuple[int, int]], marks: list[int]) -> tuple[list[tuple[int, int, int]], float | None]:
+def _credential(raw: bytes, at: int) -> bool:
+    """Whether the name before the mark at ``at`` holds a key word, wherever in it and however far off.
+
+    Names and the blanks after them belong to one mark each, so all marks of a text take one pass.
+    """
+    i = at - 1 if at and raw[at - 1] == 58 else at
+    while i and raw[i - 1] in b" \t":
+        i -= 1
+    for closing in (b"]", b"\"'"):
+        if i and raw[i - 1] in closing:
+            i -= 1
+    j = i
+    while j and raw[j - 1] in _KEY_CHARS:
+        j -= 1
+    return _KEY_WORD.search(raw, j, i) is not None
+
+
+def find_spans(raw: bytes, hexes: list[tuple[int, int]], marks: list[int], words: Dictionary = _FIXED) -> tuple[list[tuple[int, int, int]], float | None]:
     """(start, kind, end) in bytes, in order, and the highest cost of a value in credential context.
 
     ``hexes`` are the runs of kind hex, ``marks`` the places of ``:`` and ``=``.
@@ -197,10 +228,10 @@ def find_spans(raw: bytes, hexes: list[tuple[int, int]], marks: list[int]) -> tu
     out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(raw) if m.end() - m.start() >= 20]
     top, judged = None, -1
     for at in marks:
-        if at < judged or not _BEFORE.search(raw[max(0, at - 64) : at]) or not (m := _AFTER.match(raw, at + 1)):
+        if at < judged or not _credential(raw, at) or not (m := _AFTER.match(raw, at + 1)):
             continue
         judged = m.end()
-        bits = guess_bits(m[1].decode("ascii"))
+        bits = guess_bits(m[1].decode("ascii"), words)
         top = bits if top is None else max(top, bits)
         if bits >= LEAST_BITS:
             out.append((m.start(1), 3, m.end(1)))
@@ -222,7 +253,7 @@ def _text(found: list[tuple[int, int, int]]) -> str:
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def scan_batch(column: pa.Array) -> dict[str, list]:
+def scan_batch(column: pa.Array, words: Dictionary = _FIXED) -> dict[str, list]:
     n = len(column)
     counts = np.zeros((n, 3), dtype=np.int64)
     sha, text, top = [_EMPTY] * n, [""] * n, [None] * n
@@ -238,7 +269,7 @@ def scan_batch(column: pa.Array) -> dict[str, list]:
             s, e = int(ends[i]), int(ends[i + 1])
             mine = slice(*np.searchsorted(a, [s, e]))
             own = [(x - s, y - s) for x, y in zip(a[mine].tolist(), b[mine].tolist())]
-            found, bits = find_spans(data[s:e].tobytes(), own, (marks[slice(*np.searchsorted(marks, [s, e]))] - s).tolist())
+            found, bits = find_spans(data[s:e].tobytes(), own, (marks[slice(*np.searchsorted(marks, [s, e]))] - s).tolist(), words)
             if found:
                 points = np.concatenate([[0], np.cumsum((data[s:e] & 0xC0) != 0x80)])
                 found = [(int(points[x]), k, int(points[y])) for x, k, y in found]
@@ -250,15 +281,24 @@ def scan_batch(column: pa.Array) -> dict[str, list]:
     return {"n_assign": counts[:, 0], "n_access": counts[:, 1], "n_hex": counts[:, 2], "base_sha256": sha, "spans": text, "guess_bits": pa.array(top, pa.float64())}
 
 
+def dictionary(docs: DataFrame) -> Dictionary:
+    """The DICTIONARY words that stand in most documents of the whole corpus, in LEAST_DOCUMENTS or more."""
+    words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
+    words = F.filter(words, lambda w: F.length(w).between(*WORD_LENGTH))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").count().where(F.col("count") >= LEAST_DOCUMENTS)
+    return Dictionary([r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, guess_bits for every row of ``docs`` (doc_id, text).
 
     spans lists kind:start:end (code points, end exclusive) by start, then kind; base_sha256 is the
     digest of that list without the kind ``guess``, which has the values in credential context that
-    take LEAST_BITS bits or more to guess. guess_bits is the highest cost of such a value (null:
+    take LEAST_BITS bits or more to guess, with the corpus' commonest words in the dictionary. guess_bits is the highest cost of such a value (null:
     none). Null and empty texts have no spans. Rows are scanned one by one, so repeats and null ids
     need no care; an empty table gives no rows.
     """
     types = {n: T.LongType() for n in ("n_assign", "n_access", "n_hex")}
     types |= {"base_sha256": T.StringType(), "spans": T.StringType(), "guess_bits": T.DoubleType()}
-    return with_scores(docs.select("doc_id", "text"), scan_batch, types).drop("text")
+    words = dictionary(docs)
+    return with_scores(docs.select("doc_id", "text"), lambda column: scan_batch(column, words), types).drop("text")

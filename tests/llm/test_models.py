@@ -77,21 +77,36 @@ def test_cross_parsing_equals_plain():
     model = langid.LanguageModel({"x": [sample], "y": [prose(r, 300)]})
     known = "".join(chr(c) for c in model._collapsed(model.symbol[[ord(c) for c in sample]]))
     known = known[: langid.SYMBOLS] + chr(1)
-    for n in (60, 700):
+
+    def phrases(s):
+        at = count = 0
+        while at < len(s):
+            end = at + 1
+            while end < len(s) and s[at : end + 1] in known:
+                end += 1
+            count, at = count + 1, end
+        return count
+
+    for n in (1, 2, 9, 60, 700):
         text = prose(r, n)
         sym = "".join(chr(c) for c in model._collapsed(model.symbol[[ord(c) for c in text]]))
-        total = 0
-        for lo in range(0, len(sym), langid.STRETCH):
-            s, at = sym[lo : lo + langid.STRETCH], 0
-            while at < len(s):
-                end = at + 1
-                while end < len(s) and s[at : end + 1] in known:
-                    end += 1
-                total += 1
-                at = end
+        starts = range(min(len(sym), langid.STARTS))
+        total = sum(phrases(sym[j : langid.STRETCH]) for j in starts) / len(starts)
+        total += sum(phrases(sym[lo : lo + langid.STRETCH]) for lo in range(langid.STRETCH, len(sym), langid.STRETCH))
         raw = text.encode()
         cost, _ = model.costs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         assert cost[0, 0] == pytest.approx(total * model.bits[0])
+        best, score = model.predict(pa.array([text]))
+        p = np.exp2(-(cost[0] - cost[0].min()) / 4)
+        assert best[0] == cost[0].argmin() and score[0] == pytest.approx(1 / p.sum())
+
+
+def test_ties_go_to_the_first_language():
+    r = random.Random(3)
+    sample = prose(r, 200)
+    model = langid.LanguageModel({"b": [sample], "a": [sample], "c": [prose(r, 200, "zq")]})
+    out = model(pa.array([sample[:40], "12 34", "", None]))
+    assert list(out["lang_pred"]) == ["a", "und", "und", "und"] and list(out["score"][1:]) == [0.0] * 3
 
 
 def scored_rows(n=400, seed=5):

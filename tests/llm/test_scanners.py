@@ -140,6 +140,28 @@ def test_context_values(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_names_of_any_length(spark):
+    """The key word may stand anywhere in a long name, far from its mark."""
+    rows = [(1, "my_token_for_the_production_server_x: Zp4mN8sW1qLx7Qq"), (2, "token" + " " * 70 + ": Zp4mN8sW1qLx7Qq"), (3, "config['api_key'] = \"Zp4mN8sW1qLx7Qq\"")]
+    rows += [(4, "x" * 200 + "_secret_" + "y" * 200 + " := Zp4mN8sW1qLx7Qq"), (5, "colour: Zp4mN8sW1qLx7Qq"), (6, "token\n: Zp4mN8sW1qLx7Qq")]
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()}
+    for i, t in rows[:4]:
+        at = t.index("Zp4")
+        assert f"guess:{at}:{at + 15}" in got[i]
+    assert "guess" not in got[5] + got[6]
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    """Values made of words that many documents use are no secrets, though no fixed list has them."""
+    value = "quorvantzelbriskomnifal"
+    rows = [(i, f"quorvant zelbrisk omnifal {i}", None, None, None) for i in range(25)] + [(100, f"private_key: {value}", None, None, None)]
+    assert secrets.guess_bits(value) > secrets.LEAST_BITS
+    found = {x["doc_id"]: x for x in secrets.scan(frame(spark, rows)).collect()}
+    assert found[100]["spans"] == "" and found[100]["guess_bits"] < secrets.LEAST_BITS
+    alone = {x["doc_id"]: x["spans"] for x in secrets.scan(frame(spark, rows[-1:])).collect()}
+    assert "guess" in alone[100]
+
+
 def plain_bits(value):
     """The minimum over all segmentations into listed pieces, forwards."""
     char, ends = secrets._class_bits(value), {}
