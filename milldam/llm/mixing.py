@@ -17,7 +17,7 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 #: Rows that the prefix sums of one bucket of keys hold, and the most buckets that there are; beyond
 #: them buckets grow. Keys are counted in STEPS steps to a bucket first, which cut even buckets.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 BUCKETS = 4_096
 STEPS = 64
 #: Steps (a bucket and a sum each) that may be broadcast to the documents.
