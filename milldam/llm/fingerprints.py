@@ -108,7 +108,10 @@ def phrase_samples(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         have = a[1:] - a[:-1]
         own = np.repeat(open_, have)
         keys.append(np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), have)[own] | names[own])
-    flat = np.unique(np.concatenate(keys))  # by text, then name
+    flat = np.sort(np.concatenate(keys))  # by text, then name
+    fresh = np.ones(len(flat), dtype=bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    flat = flat[fresh]
     first = np.searchsorted(flat, np.arange(n + 1, dtype=np.uint64) << np.uint64(32)).tolist()
     return [flat[lo : min(hi, lo + SAMPLE)].astype(np.uint32) for lo, hi in zip(first[:-1], first[1:])]
 
