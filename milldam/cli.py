@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import attribute_words
 from .operators import explore, graph, itemsets, recommend, similarity
-from .session import saved, session
+from .session import saved, session, shared_dir
 from .sources import readers, sinks
 from .streaming import sketches
 
@@ -161,16 +161,23 @@ def bloom(spark: SparkSession, port: str, target: str, host: str = "localhost",
         last = sketches.bloom_rates(held["seen"]).orderBy(F.desc("batch")).limit(1)
         last.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("fpr").alias("FPR")).write.mode("append").option("header", True).csv(target)
 
-    stream.writeStream.foreachBatch(one).trigger(processingTime=f"{seconds} seconds").start().awaitTermination()
+    state = f"{shared_dir(spark)}/bloom-{port}"
+    stream.writeStream.option("checkpointLocation", state).foreachBatch(one).trigger(processingTime=f"{seconds} seconds").start().awaitTermination()
 
 
 def distinct(spark: SparkSession, port: str, target: str, host: str = "localhost", seconds: str = "5") -> None:
     """Distinct cities over a socket of JSON lines, per sliding window of 30 s every 10 s."""
     rows = readers.socket_json(spark, host, int(port), "city string").where("city is not null").withColumnRenamed("city", "key")
-    out = sketches.window_distinct(rows.withWatermark("ts", "30 seconds"), "30 seconds", "10 seconds")
-    named = out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("truth").alias("Ground Truth"), F.col("estimate").alias("Estimation"))
-    run = named.writeStream.outputMode("update").trigger(processingTime=f"{seconds} seconds")
-    run.foreachBatch(lambda batch, _: batch.write.mode("append").option("header", True).csv(target)).start().awaitTermination()
+    keys = sketches.window_keys(rows.withWatermark("ts", "30 seconds"), "30 seconds", "10 seconds")
+
+    def one(batch: DataFrame, _: int) -> None:
+        """All keys of the windows that closed; state and offsets survive a restart."""
+        out = sketches.window_estimates(batch)
+        named = out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("truth").alias("Ground Truth"), F.col("estimate").alias("Estimation"))
+        named.write.mode("append").option("header", True).csv(target)
+
+    run = keys.writeStream.outputMode("append").trigger(processingTime=f"{seconds} seconds")
+    run.option("checkpointLocation", f"{shared_dir(spark)}/distinct-{port}").foreachBatch(one).start().awaitTermination()
 
 
 COMMANDS: dict[str, Callable[..., None]] = {

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable
 
@@ -11,14 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_number
 from ..operators import explore, graph, itemsets, recommend, similarity
-from ..session import saved, table
+from ..session import saved, shared_dir, table
 from ..sources import sinks
 from ..streaming import sketches
 from . import derived as d
 
-#: Case 1 asks for a share of the baskets, so that its level of detail does not grow with the table.
-SHARE_1 = 0.027
-SUPPORT_2, SUPPORT_RETAIL, RETAIL_ITEMS = 3, 3, 4
+#: Absolute supports, and the items that a retail basket must exceed.
+SUPPORT_1, SUPPORT_2, SUPPORT_RETAIL, RETAIL_ITEMS = 400, 3, 3, 4
 BANDS, ROWS = 13, 2
 SINCE = "1995"
 
@@ -86,10 +84,6 @@ def _brand_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.baskets(d.order_brands(spark, sf_dir), "o", "b")
 
 
-def _support(sets: DataFrame) -> int:
-    return max(1, math.ceil(SHARE_1 * sets.count()))
-
-
 def _order_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.baskets(d.retail(spark, sf_dir), "item", "key")
 
@@ -120,20 +114,18 @@ def retail_baskets_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def son_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _brand_sets(spark, sf_dir)
-    return _flat(itemsets.local_candidates(sets, _support(sets), shards=4))
+    return _flat(itemsets.local_candidates(saved(_brand_sets(spark, sf_dir), "baskets"), SUPPORT_1, shards=4))
 
 
 @query
 def son_frequent_case1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _brand_sets(spark, sf_dir)
-    return _flat(itemsets.frequent(sets, _support(sets)), "n")
+    return _flat(itemsets.frequent(saved(_brand_sets(spark, sf_dir), "baskets"), SUPPORT_1), "n")
 
 
 @query
 def son_two_phase_case1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _brand_sets(spark, sf_dir)
-    return _flat(itemsets.confirmed(sets, itemsets.local_candidates(sets, _support(sets), shards=4), _support(sets)), "n")
+    sets = saved(_brand_sets(spark, sf_dir), "baskets")
+    return _flat(itemsets.confirmed(sets, itemsets.local_candidates(sets, SUPPORT_1, shards=4), SUPPORT_1), "n")
 
 
 @query
@@ -148,8 +140,7 @@ def son_frequent_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def itemset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _brand_sets(spark, sf_dir)
-    return sinks.itemset_lines(itemsets.frequent(sets, _support(sets)))
+    return sinks.itemset_lines(itemsets.frequent(saved(_brand_sets(spark, sf_dir), "baskets"), SUPPORT_1))
 
 
 # -- similarity ----------------------------------------------------------------------------------
@@ -331,14 +322,18 @@ def bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sketches.bloom_rates(sketches.first_arrivals(d.arrivals(spark, sf_dir))), "fpr")
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    out = sketches.window_distinct(rows, "3 days", "1 day")
+def _keys(rows: DataFrame) -> DataFrame:
+    return sketches.window_keys(rows, "3 days", "1 day")
+
+
+def _windows(keys: DataFrame) -> DataFrame:
+    out = sketches.window_estimates(keys)
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "truth", "estimate")
 
 
 @query
 def fm_window_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(d.keyed_events(spark, sf_dir))
+    return _windows(_keys(d.keyed_events(spark, sf_dir)))
 
 
 @query
@@ -357,12 +352,21 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _finished(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All of a bounded stream, worked off batch by batch into a table."""
+    """All of a bounded stream, worked off batch by batch into files: of a complete stream the last batch's rows.
+
+    State and results lie in the cluster's shared folder, so a lost driver could take the stream up again.
+    """
     spark = stream.sparkSession
-    label = f"{name}_{uuid.uuid4().hex[:8]}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(label).trigger(availableNow=True).start()
+    base, written = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/{number:09d}")
+        written.append(f"{base}/out/{number:09d}")
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(label)
+    paths = written[-1:] if mode == "complete" else written
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 @query
@@ -376,7 +380,7 @@ def stream_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _streamed(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("key"))
-    return _finished(_windows(rows.withWatermark("ts", "3 days")), "distinct", "complete")
+    return _windows(_finished(_keys(rows.withWatermark("ts", "3 days")), "distinct", "complete"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,16 +48,37 @@ def _estimate(tops: list[Column]) -> Column:
     return F.element_at(F.sort_array(F.array(*means)), len(means) // 2 + 1)
 
 
-def window_distinct(rows: DataFrame, length: str, slide: str) -> DataFrame:
-    """(start, truth, estimate) of the distinct ``key`` values in sliding windows over ``ts``.
+#: Products of neighbouring moduli, small enough to be residues themselves: a key's bytes are folded once for each.
+GROUPS = (MODULI[:6], MODULI[6:])
+
+
+def _residues(key: Column) -> list[Column]:
+    """The residues of ``key`` by MODULI, in order."""
+    return [F.pmod(bytes_residue(key, math.prod(group)), F.lit(m).cast("long")) for group in GROUPS for m in group]
+
+
+def window_keys(rows: DataFrame, length: str, slide: str) -> DataFrame:
+    """(start, key, n): the distinct ``key`` values in sliding windows over ``ts``. As a stream the state holds a row for each."""
+    grouped = rows.groupBy(F.window("ts", length, slide).alias("w"), "key").agg(F.count("*").alias("n"))
+    return grouped.select(F.col("w.start").alias("start"), "key", "n")
+
+
+def window_estimates(keys: DataFrame) -> DataFrame:
+    """(start, truth, estimate) of each window of window_keys.
 
     Each residue keeps the largest power of two that divides one of its values; zero residues count
-    for nothing. A window without rows gives none.
+    for nothing, as do null keys. A window without rows gives none.
     """
-    tops = [F.max(lowest_bit(bytes_residue(F.col("key"), m))).alias(f"r{j}") for j, m in enumerate(MODULI)]
-    grouped = rows.groupBy(F.window("ts", length, slide).alias("w")).agg(F.size(F.collect_set("key")).cast("long").alias("truth"), *tops)
+    hashed = keys.withColumn("r", F.array(*(lowest_bit(r) for r in _residues(F.col("key")))))
+    tops = [F.max(F.col("r")[j]).alias(f"r{j}") for j in range(len(MODULI))]
+    grouped = hashed.groupBy("start").agg(F.count("key").alias("truth"), *tops)
     powers = [F.greatest(F.col(f"r{j}"), F.lit(1).cast("long")) for j in range(len(MODULI))]
-    return grouped.select(F.col("w.start").alias("start"), "truth", _estimate(powers).alias("estimate"))
+    return grouped.select("start", "truth", _estimate(powers).alias("estimate"))
+
+
+def window_distinct(rows: DataFrame, length: str, slide: str) -> DataFrame:
+    """(start, truth, estimate) of the distinct ``key`` values in sliding windows over ``ts``; see window_estimates."""
+    return window_estimates(window_keys(rows, length, slide))
 
 
 def order_of(event_id: Column) -> Column:
