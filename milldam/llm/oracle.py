@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .decontaminate import MIN_ITEM, MIN_SHARE, MIN_SPAN, SHORTEST
-from .licenses import BASE, TEMPLATES
 from .mixing import MOST_EPOCHS, SHARE, SOURCE_WEIGHTS, SYMBOLS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,28 +87,30 @@ select doc_id, item_id, (-b.w)::int as n_words, b.m::int as n_matched, (-b.f)::i
 
 
 def _licenses() -> str:
-    split = [(label, phrase.split(), whole.split()) for label, phrase, whole in TEMPLATES]
-    lexicon = sorted({w for _, _, whole in split for w in whole})
+    split = licenses.split()
+    lexicon = sorted({w for _, _, whole, _ in split for w in whole})
     places, template = [], []
-    for t, (label, phrase, whole) in enumerate(split):
+    for t, (label, phrase, whole, lead) in enumerate(split):
         same = " and ".join(f"words[i + {j}] = '{w}'" for j, w in enumerate(phrase))
         places.append(f"select doc_id, words, {t} as t, unnest(list_filter(range(1, len(words) + 1), lambda i: {same})) as i from w")
-        lead = next(i for i in range(len(whole)) if whole[i : i + len(phrase)] == phrase)
         template += [f"({t}, '{label}', {j - lead}, '{x}', {len(phrase) == len(whole)})" for j, x in enumerate(whole)]
     listed = "coalesce(string_agg(distinct label, ',' order by label){}, '')"
+    near = f"list_contains(list_slice(words, greatest(i + j - {licenses.SLACK}, 1), greatest(i + j + {licenses.SLACK}, 0)), word)"
     return f"""with w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
 lexicon as (select unnest([{", ".join(f"'{x}'" for x in lexicon)}]) as word),
 df as (select word, count(*) as n from (select distinct doc_id, unnest(words) as word from w) join lexicon using (word) group by 1),
 idf as (select word, greatest(ln(((select count(*) from w) + 1) / (coalesce(n, 0) + 0.5)::double), 1e-6) as x from lexicon left join df using (word)),
 template(t, label, j, word, plain) as (values {", ".join(template)}),
+posted as (select * from template join idf using (word) qualify row_number() over (partition by t order by x desc, j) <= {licenses.RARE} or plain),
 place as ({" union all ".join(places)}),
 share as (
-  select doc_id, t, i, label, case when plain then 1.0::double else least(sum(case when i + j >= 1 and words[i + j] = word then x else 0 end) / sum(x), 1.0) end as share
-  from place join template using (t) join idf using (word) group by doc_id, t, i, label, plain),
+  select doc_id, t, i, label, case when plain then 1.0::double else least(sum(case when {near} then x else 0 end) / sum(x), 1.0) end as share
+  from place join posted using (t) group by doc_id, t, i, label, plain),
+kept as (select * from share where share >= {licenses.MIN_SHARE}),
 hit as (
-  select doc_id, count(*) filter (t < {BASE}) as n_base, min(i) filter (t < {BASE}) - 1 as first_word, max(i) filter (t < {BASE}) - 1 as last_word,
-    {listed.format(f" filter (t < {BASE})")} as base_labels, {listed.format("")} as labels, round(max(share), 6) as score from share group by 1)
+  select doc_id, count(*) filter (t < {licenses.BASE}) as n_base, min(i) filter (t < {licenses.BASE}) - 1 as first_word, max(i) filter (t < {licenses.BASE}) - 1 as last_word,
+    {listed.format(f" filter (t < {licenses.BASE})")} as base_labels, {listed.format("")} as labels, round(max(share), 6) as score from kept group by 1)
 select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
   coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
 from w left join hit using (doc_id)"""
