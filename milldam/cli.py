@@ -19,7 +19,7 @@ from .functions.text import attribute_words
 from .operators import explore, graph, itemsets, recommend, similarity
 from .session import saved, session, shared_dir
 from .sources import readers, sinks
-from .streaming import sketches
+from .streaming import programs
 
 
 def _lines(df: DataFrame, path: str) -> None:
@@ -149,40 +149,31 @@ def propagation(spark: SparkSession, source: str, target: str) -> None:
     _lines(sinks.community_lines(graph.communities(found, "label")), target)
 
 
+def _state(spark: SparkSession, name: str, port: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{port}"
+
+
 def bloom(spark: SparkSession, port: str, target: str, host: str = "localhost", seconds: str = "10") -> None:
     """The filter's false-positive rate over a socket of JSON lines with ``state``, a CSV row per batch."""
     stream = readers.socket_json(spark, host, int(port), "state string")
-    seen = spark.createDataFrame([], "state string, ord long, batch long")
-    held = {"seen": seen}
-
-    def one(batch: DataFrame, number: int) -> None:
-        new = batch.where("state is not null").select("state", (F.lit(number) * (1 << 40) + F.monotonically_increasing_id()).alias("ord"), F.lit(number).cast("long").alias("batch"))
-        held["seen"] = saved(sketches.first_arrivals(held["seen"].unionByName(new)), "bloom")
-        last = sketches.bloom_rates(held["seen"]).orderBy(F.desc("batch")).limit(1)
-        last.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("fpr").alias("FPR")).write.mode("append").option("header", True).csv(target)
-
-    state = f"{shared_dir(spark)}/bloom-{port}"
-    stream.writeStream.option("checkpointLocation", state).foreachBatch(one).trigger(processingTime=f"{seconds} seconds").start().awaitTermination()
+    programs.bloom(stream, target, _state(spark, "bloom", port), processingTime=f"{seconds} seconds").awaitTermination()
 
 
 def distinct(spark: SparkSession, port: str, target: str, host: str = "localhost", seconds: str = "5") -> None:
     """Distinct cities over a socket of JSON lines, per sliding window of 30 s every 10 s."""
-    rows = readers.socket_json(spark, host, int(port), "city string").where("city is not null").withColumnRenamed("city", "key")
-    keys = sketches.window_keys(rows.withWatermark("ts", "30 seconds"), "30 seconds", "10 seconds")
+    stream = readers.socket_json(spark, host, int(port), "city string").withColumnRenamed("city", "key")
+    programs.distinct(stream, target, _state(spark, "distinct", port), processingTime=f"{seconds} seconds").awaitTermination()
 
-    def one(batch: DataFrame, _: int) -> None:
-        """All keys of the windows that closed; state and offsets survive a restart."""
-        out = sketches.window_estimates(batch)
-        named = out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("truth").alias("Ground Truth"), F.col("estimate").alias("Estimation"))
-        named.write.mode("append").option("header", True).csv(target)
 
-    run = keys.writeStream.outputMode("append").trigger(processingTime=f"{seconds} seconds")
-    run.option("checkpointLocation", f"{shared_dir(spark)}/distinct-{port}").foreachBatch(one).start().awaitTermination()
+def sample(spark: SparkSession, port: str, target: str, host: str = "localhost", seconds: str = "10") -> None:
+    """The most frequent tags of a sample of 150 posts over a socket of JSON lines, a CSV per batch."""
+    stream = programs.posts(readers.socket_json(spark, host, int(port), programs.POST))
+    programs.sampled_tags(stream, target, _state(spark, "sample", port), processingTime=f"{seconds} seconds").awaitTermination()
 
 
 COMMANDS: dict[str, Callable[..., None]] = {
     "users": users, "partitions": partitions, "states": states, "itemsets": frequent, "retail": retail, "similar": similar, "predict": predict,
-    "hybrid": hybrid, "divisive": divisive, "propagation": propagation, "bloom": bloom, "distinct": distinct,
+    "hybrid": hybrid, "divisive": divisive, "propagation": propagation, "bloom": bloom, "distinct": distinct, "sample": sample,
 }
 
 

@@ -48,6 +48,11 @@ def custom_profile(df: DataFrame, key: str, n: int) -> DataFrame:
     return partition_profile(df.repartition(n, key))
 
 
+def round_robin_profile(df: DataFrame, n: int) -> DataFrame:
+    """The profile after dealing rows in turn, whatever their keys: sizes differ by the number of input partitions at most."""
+    return partition_profile(df.repartition(n))
+
+
 def collect_or_take(df: DataFrame, k: int = 5) -> DataFrame:
     """Seconds for fetching all rows and cutting them, against fetching ``k``; both give the same rows."""
     start = time.time()

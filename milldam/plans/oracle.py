@@ -217,8 +217,37 @@ TOP_SQL = """counts as (select tag, count(*) as n from sample group by 1),
 ranked as (select tag, n, dense_rank() over (order by n desc) as rank, row_number() over (partition by n order by tag) as k from counts)"""
 
 
+LIKE_ITEMS = [
+    "members as (select i as item, u as member from train)", signature_sql("members", 8), pair_sql(8, 1), jaccard_sql("pairs", 0.65),
+    "both_ways as (select a as x, b as y from alike union select b, a from alike)", pearson_sql("both_ways", "i", "u"),
+]
+
+
+def nearer_half(rows: str, keys: str) -> str:
+    return f"""half as (select * from (select *, row_number() over (partition by {keys} order by sim desc, j desc) as k, count(*) over (partition by {keys}) as m from ({rows}))
+  where k <= floor(m / 2))"""
+
+
+def item_cf(neighbours: list[str]) -> str:
+    """Predictions from the ratings of the neighbours ``near`` (u, i, j, sim)."""
+    return with_(
+        d.BRAND_RATINGS, d.SPLIT, *neighbours,
+        "drawn as (select near.u, near.i, sum(sim * r.r) as top, sum(abs(sim)) as total from near join train r on r.u = near.u and r.i = near.j group by 1, 2)",
+        "means as (select u, avg(r) as mean from train group by 1)",
+    ) + """select t.u, t.i, round(coalesce(case when top <> 0 and total <> 0 then least(greatest(top / total, 1.0), 5.0) end, mean, 3.0), 6) as prediction
+from test t left join means m on m.u = t.u left join drawn x on x.u = t.u and x.i = t.i"""
+
+
+def report(deepest: int) -> str:
+    """A line per size, sets in order, each as ('a', 'b')."""
+    out = []
+    for k in range(1, deepest + 1):
+        items = " || ', ' || ".join(f"chr(39) || i{j} || chr(39)" for j in range(1, k + 1))
+        out.append(f"select {k} as size, string_agg('(' || {items} || ')', ', ' order by {', '.join(f'i{j}' for j in range(1, k + 1))}) as line from l{k} having count(*) > 0")
+    return "\nunion all\n".join(out)
+
+
 def oracle_sql() -> dict[str, str]:
-    item_members = "members as (select i as item, u as member from train)"
     rows1 = "rows as (select o as k, b as i from order_brands)"
     rows2 = "rows as (select item as k, key as i from retail)"
     rows3 = f"rows as (select key as k, item as i from retail where key in (select key from retail group by 1 having count(*) > {RETAIL_ITEMS}))"
@@ -234,12 +263,14 @@ def oracle_sql() -> dict[str, str]:
         "state_avg_stars": with_(STATES) + "select * from states",
         "top5_states": with_(STATES) + "select * from states order by stars desc, state limit 5",
         "partition_profile_mod": "select cast(c_custkey % 8 as int) as partition, count(*) as n_items from customer group by 1",
+        "round_robin_profile": "select 8::bigint as n_partitions, count(*) as n_items, true as even from customer",
         "baskets_case1": baskets(d.ORDER_BRANDS, "order_brands", "o", "b"),
         "baskets_case2": baskets(d.ORDER_BRANDS, "order_brands", "b", "o"),
         "retail_baskets_filtered": baskets(d.RETAIL, "retail", "key", "item", RETAIL_ITEMS),
         "son_candidates": with_(d.ORDER_BRANDS, SHARDED, local) + all_levels(3, count=False),
         "son_frequent_case1": son,
         "son_two_phase_case1": son,
+        "itemset_report": with_(d.ORDER_BRANDS, rows1, levels("rows", str(SUPPORT_1), 3)) + report(3),
         "son_frequent_case2": with_(d.RETAIL, rows2, levels("rows", str(SUPPORT_2), 3)) + all_levels(3),
         "son_frequent_retail": with_(d.RETAIL, rows3, levels("rows", str(SUPPORT_RETAIL), 3)) + all_levels(3),
         "minhash_signatures": with_(MEMBERS, signature_sql("members", BANDS * ROWS)) + "select * from signed",
@@ -254,14 +285,11 @@ def oracle_sql() -> dict[str, str]:
         "user_cf_predictions": with_(*USER_CF) + "select u, i, round(prediction, 6) as prediction from predicted",
         "user_cf_predictions_top_half": with_(*user_cf(d.BRAND_RATINGS, HALF_NEAR, PLAIN)) + "select u, i, round(prediction, 6) as prediction from predicted",
         "user_cf_predictions_nonneg": with_(*USER_POSITIVE) + "select u, i, round(prediction, 6) as prediction from predicted",
-        "item_cf_lsh_predictions": with_(
-            d.BRAND_RATINGS, d.SPLIT, item_members, signature_sql("members", 8), pair_sql(8, 1), jaccard_sql("pairs", 0.65),
-            "both_ways as (select a as x, b as y from alike union select b, a from alike)", pearson_sql("both_ways", "i", "u"),
-            """drawn as (select t.u, t.i, sum(sim * r.r) as top, sum(abs(sim)) as total from test t join sims on x = t.i join train r on r.u = t.u and r.i = y
-  where sim is not null group by 1, 2)""",
-            "means as (select u, avg(r) as mean from train group by 1)",
-        ) + """select t.u, t.i, round(coalesce(case when top <> 0 and total <> 0 then least(greatest(top / total, 1.0), 5.0) end, mean, 3.0), 6) as prediction
-from test t left join means m on m.u = t.u left join drawn x on x.u = t.u and x.i = t.i""",
+        "item_cf_lsh_predictions": item_cf([*LIKE_ITEMS, "near as (select t.u, t.i, y as j, sim from test t join sims on x = t.i where sim is not null)"]),
+        "item_cf_lsh_predictions_top_half": item_cf([*LIKE_ITEMS, nearer_half("select x as i, y as j, sim from sims where sim is not null", "i"),
+            "near as (select t.u, t.i, j, sim from test t join half on half.i = t.i)"]),
+        "item_cf_rated_predictions": item_cf(["met as (select distinct t.i as x, r.i as y from test t join train r on r.u = t.u)", pearson_sql("met", "i", "u"),
+            nearer_half("select t.u, t.i, r.i as j, sim from test t join train r on r.u = t.u join sims on x = t.i and y = r.i where sim is not null", "u, i"), "near as (select u, i, j, sim from half)"]),
         "baseline_predictions": with_(d.RATINGS, d.SPLIT, *baseline_ctes()) + "select u, i, round(prediction, 6) as prediction from baseline",
         "item_features": with_(d.PART_WORDS) + "select i, array_to_string(words, ' ') as words from part_words",
         "content_nb_predictions": with_(d.RATINGS, d.SPLIT, *CONTENT) + "select u, i, round(prediction, 6) as prediction from content",
@@ -284,5 +312,6 @@ from test t left join means m on m.u = t.u left join drawn x on x.u = t.u and x.
         "stream_fm": with_(FM_SQL) + FM_OUT,
         "reservoir_sample": sample,
         "stream_reservoir": sample,
+        "stream_tag_counts": with_(SAMPLE_SQL) + "select tag, count(*) as n from sample group by 1",
         "top_tags": with_(SAMPLE_SQL, TOP_SQL) + "select tag, n from ranked where rank < 5 or (rank = 5 and k = 1)",
     }

@@ -12,7 +12,7 @@ from ..functions.hashing import digest_number
 from ..operators import explore, graph, itemsets, recommend, similarity
 from ..session import saved, shared_dir, table
 from ..sources import sinks
-from ..streaming import sketches
+from ..streaming import programs, sketches
 from . import derived as d
 
 #: Absolute supports, and the items that a retail basket must exceed.
@@ -72,6 +72,14 @@ def partition_profile_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.users(spark, sf_dir).groupBy(part).agg(F.count("*").alias("n_items"))
 
 
+@query
+def round_robin_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = d.users(spark, sf_dir)
+    sizes = explore.round_robin_profile(users, 8)
+    even = F.max("n_items") - F.min("n_items") <= users.rdd.getNumPartitions()
+    return sizes.agg(F.count("*").alias("n_partitions"), F.sum("n_items").alias("n_items"), even.alias("even"))
+
+
 @query
 def collect_vs_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.collect_or_take(state_avg_stars(spark, sf_dir))
@@ -218,12 +226,25 @@ def user_cf_predictions_nonneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(recommend.user_predictions(*_rated(spark, sf_dir), positive=True))
 
 
+def _item_pairs(train: DataFrame) -> DataFrame:
+    return similarity.similar_items(train.select(F.col("i").alias("item"), F.col("u").alias("member")), 8, 1, 0.65)
+
+
 @query
 def item_cf_lsh_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _rated(spark, sf_dir, True)
-    members = train.select(F.col("i").alias("item"), F.col("u").alias("member"))
-    pairs = similarity.similar_items(members, 8, 1, 0.65)
-    return _rounded(recommend.item_predictions(train, test, pairs))
+    return _rounded(recommend.item_predictions(train, test, _item_pairs(train)))
+
+
+@query
+def item_cf_lsh_predictions_top_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _rated(spark, sf_dir, True)
+    return _rounded(recommend.item_predictions(train, test, _item_pairs(train), half=True))
+
+
+@query
+def item_cf_rated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(recommend.rated_item_predictions(*_rated(spark, sf_dir, True)))
 
 
 @query
@@ -390,6 +411,17 @@ def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.orderBy("rank", "id").limit(sketches.SAMPLE).select("id", "tag")
 
 
+@query
+def stream_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters that rise and fall with the sample, after the stream's last batch."""
+    tag = F.get_json_object("props", "$.k")
+    rows = _streamed(spark, sf_dir, "events").where(tag.isNotNull()).select(F.col("event_id").alias("id"), F.array(tag).alias("tags"))
+    state = f"{shared_dir(spark)}/tags-{uuid.uuid4().hex}"
+    run = programs.sampled_tags(rows, f"{state}/out", state, availableNow=True)
+    run.awaitTermination()
+    return programs.Carried(spark, f"{state}/counts", "tag string, n long").before(run.lastProgress["batchId"] + 1 if run.lastProgress else 0)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

@@ -82,8 +82,9 @@ def window_distinct(rows: DataFrame, length: str, slide: str) -> DataFrame:
 
 
 def order_of(event_id: Column) -> Column:
-    """A fixed pseudo-random order of ids."""
-    return F.pmod(event_id * F.lit(1103515245).cast("long") + F.lit(12345).cast("long"), F.lit(2147483648).cast("long"))
+    """A fixed pseudo-random order of ids; of large ones only the lowest 31 bits count, so that no product overflows."""
+    modulus = F.lit(2147483648).cast("long")
+    return F.pmod(F.pmod(event_id, modulus) * F.lit(1103515245).cast("long") + F.lit(12345).cast("long"), modulus)
 
 
 def fixed_sample(rows: DataFrame, n: int = SAMPLE) -> DataFrame:
@@ -92,8 +93,12 @@ def fixed_sample(rows: DataFrame, n: int = SAMPLE) -> DataFrame:
 
 
 def top_tags(sample: DataFrame, ranks: int = 5) -> DataFrame:
+    """The most frequent tags of a sample (id, tag); see top_counts."""
+    return top_counts(sample.groupBy("tag").agg(F.count("*").alias("n")), ranks)
+
+
+def top_counts(counts: DataFrame, ranks: int = 5) -> DataFrame:
     """(tag, n): all tags of the highest counts, and of the last rank only the first tag by name."""
-    counts = sample.groupBy("tag").agg(F.count("*").alias("n"))
     by_count = Window.orderBy(F.desc("n"))
     in_rank = Window.partitionBy("n").orderBy("tag")
     ranked = counts.withColumn("rank", F.dense_rank().over(by_count)).withColumn("k", F.row_number().over(in_rank))

@@ -120,6 +120,34 @@ def test_fit_blend(spark):
     assert weights == pytest.approx({"one": 0.7, "two": 0.2}) and constant == pytest.approx(-0.1)
 
 
+def test_factors_recover_ratings_of_rank_two(spark):
+    """Factors beat the mean by far on held-out pairs of a matrix that has them, and stay in [1, 5]."""
+    r = random.Random(2)
+    users = [(r.random(), r.random()) for _ in range(60)]
+    goods = [(r.random() * 2, r.random() * 2) for _ in range(40)]
+    cells = [(u, i, 1 + a * x + b * y) for u, (a, b) in enumerate(users) for i, (x, y) in enumerate(goods)]
+    asked = [c for c in cells if (c[0] * 7 + c[1] * 3) % 10 == 0]
+    train = spark.createDataFrame([c for c in cells if c not in asked], "u long, i long, r double")
+    test = spark.createDataFrame([*asked, (999, 0, 3.0), (0, 999, 3.0), asked[0]], "u long, i long, r double")
+    got = recommend.als_predictions(train, test, rank=3, penalty=0.02).collect()
+    by = {(x["u"], x["i"]): x["prediction"] for x in got}
+    assert len(got) == len(asked) + 3 and all(1 <= p <= 5 for p in by.values())
+    assert by[(999, 0)] == by[(0, 999)] == recommend.UNKNOWN
+    mean = sum(c[2] for c in cells) / len(cells)
+    error = lambda f: (sum((f(u, i) - x) ** 2 for u, i, x in asked) / len(asked)) ** 0.5
+    assert error(lambda u, i: by[(u, i)]) < 0.25 * error(lambda u, i: mean)
+
+
+def test_rated_neighbours_golden(spark):
+    """Of the three items that user 9 rated, the nearer half of three is one: the item that moves with item 1."""
+    rows = [(u, 1, r) for u, r in enumerate((1, 2, 4, 5))] + [(u, 2, r) for u, r in enumerate((1, 3, 4, 5))]
+    rows += [(u, 3, r) for u, r in enumerate((5, 4, 2, 1))] + [(u, 4, r) for u, r in enumerate((3, 5, 1, 3))] + [(9, 2, 4), (9, 3, 1), (9, 4, 2)]
+    train = spark.createDataFrame(rows, "u long, i long, r int")
+    test = spark.createDataFrame([(9, 1, 4), (8, 1, 4)], "u long, i long, r int")
+    got = {x["u"]: x["prediction"] for x in recommend.rated_item_predictions(train, test).collect()}
+    assert got == {9: pytest.approx(4.0), 8: 3.0}
+
+
 def test_clamp(spark):
     df = spark.createDataFrame([(5.7,), (0.2,), (3.3,)], "x double")
     assert [r[0] for r in df.select(scalar.clamp(F.col("x"))).collect()] == [5.0, 1.0, 3.3]
@@ -153,6 +181,66 @@ def test_girvan_newman_golden(spark):
     assert graph.modularity(e, one, "community").first()["q"] == pytest.approx(0)
 
 
+def paths(near, a, b):
+    """All shortest paths from a to b, by trying."""
+    front = [[a]]
+    while front and not any(p[-1] == b for p in front):
+        front = [[*p, y] for p in front for y in sorted(near[p[-1]]) if y not in p]
+    return [p for p in front if p[-1] == b]
+
+
+def divided(pairs):
+    """The best split by removing edges, with betweenness from enumerated paths."""
+    near = {x: set() for p in pairs for x in p}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    degree, m, left = {x: len(y) for x, y in near.items()}, len(pairs), sorted(pairs)
+
+    def split():
+        of = {}
+        for x in sorted(near):
+            todo = [x]
+            while todo:
+                y = todo.pop()
+                if y not in of:
+                    of[y] = x
+                    todo += near[y]
+        return of
+
+    def quality(of):
+        same = sum(of[a] == of[b] for a, b in pairs) / m
+        return same - sum((sum(degree[x] for x in of if of[x] == c) / (2 * m)) ** 2 for c in set(of.values()))
+
+    whole = dict.fromkeys(near, min(near))
+    best, best_q, n = whole, quality(whole), len(set(split().values()))
+    while left:
+        weight = dict.fromkeys(left, 0.0)
+        for a, b in itertools.combinations(sorted(near), 2):
+            found = paths(near, a, b)
+            for p in found:
+                for x, y in zip(p, p[1:]):
+                    weight[min(x, y), max(x, y)] += 1 / len(found)
+        a, b = min(left, key=lambda e: (-round(weight[e], 9), e))
+        left.remove((a, b))
+        near[a].discard(b)
+        near[b].discard(a)
+        of = split()
+        if len(set(of.values())) > n:
+            n = len(set(of.values()))
+            if quality(of) > best_q + 1e-12:
+                best, best_q = of, quality(of)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_girvan_newman_against_enumerated_paths(spark, seed):
+    r = random.Random(seed)
+    pairs = sorted({tuple(sorted(r.sample(range(9), 2))) for _ in range(13)})
+    got = {x["node"]: x["community"] for x in graph.girvan_newman(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == divided(pairs)
+
+
 def test_empty_graph(spark):
     none = spark.createDataFrame([], readers.EDGE)
     for out in (graph.components(none), graph.label_propagation(none), graph.edge_betweenness(none), graph.girvan_newman(none)):
