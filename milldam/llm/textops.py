@@ -92,11 +92,22 @@ def spans(mask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, equal for equal bytes at any place."""
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span, equal for equal bytes at any place.
+
+    Spans come by start and do not overlap. They are worked through in pieces, so that besides the
+    result memory is bounded by the longest span, not by the longest text.
+    """
+    out, i = np.empty(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK_BYTES, side="right")))
+        piece, a, b = data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo
+        up, down = powers(len(piece))
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[piece] * up[: len(piece)], out=sums[1:])
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def row_bounds(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -198,6 +198,22 @@ def test_convolution_equals_plain():
     assert model._raw([ids])[0] == pytest.approx(want[0], abs=1e-4)
 
 
+def test_pieces_change_nothing(monkeypatch):
+    """Scores and hashes of texts that are cut into many pieces equal those of whole ones."""
+    r = random.Random(8)
+    texts = [prose(r, n) for n in (1, 0, 7, 3, 400, 1, 1, 64, 63, 65)]
+    column = pa.array([*texts, None, "x" * 300 + " " + prose(r, 20)])
+    model = toxicity.ToxicityModel(langid.LanguageModel({}))
+    model.ready = True
+    whole = model(column)["score"]
+    data, ends = textops.utf8(column)
+    hashes = textops.words(data, ends)[0]
+    monkeypatch.setattr(toxicity, "PLACES", 16)
+    monkeypatch.setattr(textops, "BLOCK_BYTES", 40)
+    assert np.array_equal(model(column)["score"], whole) and len(set(whole)) > 5
+    assert np.array_equal(textops.words(data, ends)[0], hashes)
+
+
 def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     rows = [(i, f"text {i}", None, None, None) for i in range(300)]
     marks = [(i, i % 2, 0) for i in range(300)]
