@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, parallelism
 
 SHARDS = 24
 #: Rounds end earlier when every text lies whole or no shard that is asked for has room.
@@ -29,6 +29,8 @@ PARTS = 64
 BROADCAST_CELLS = 500_000
 #: Rows that one ranking task holds on average; groups above it are ranked in several parts.
 BUCKET_ROWS = 5_000
+#: Bytes of text that a task of the last step holds on average, if texts go with their rows.
+PART_BYTES = 16 << 20
 CELL = ["team", "start", "part"]
 
 
@@ -147,11 +149,12 @@ def placed(docs: DataFrame, shards: int, rounds: int, texts: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "shards")
     keyed = _keyed(docs, shards)
     # All rounds read this narrow table; texts are read once more at the end, if they are wanted.
-    narrow = scratch.save(keyed.drop("text") if not texts else keyed.select(*(f"__{c}" for c in CELL)), "rows")
+    narrow = scratch.save(keyed.drop("text") if not texts else keyed.select("__size", *(f"__{c}" for c in CELL)), "rows")
     # Counted by cell first, so the rows of a hot text meet nowhere.
-    cells = narrow.groupBy(*(F.col(f"__{c}").alias(c) for c in CELL)).agg(F.count("*").alias("n"))
+    cells = narrow.groupBy(*(F.col(f"__{c}").alias(c) for c in CELL)).agg(F.count("*").alias("n"), F.sum("__size").alias("bytes"))
     cells = scratch.save(cells, "all")
-    total = cells.agg(F.sum("n")).first()[0] or 0
+    total, volume = (x or 0 for x in cells.agg(F.sum("n"), F.sum("bytes")).first())
+    cells = cells.drop("bytes")
     linked = cells.groupBy("team").agg(F.sum("n").alias("members")).where("members > 1")
     cells = scratch.save(cells.join(linked, "team").withColumn("shard", F.col("start")), "linked")
     cells = _propagated(cells, shards, rounds, total // shards, scratch)
@@ -171,7 +174,10 @@ def placed(docs: DataFrame, shards: int, rounds: int, texts: bool) -> DataFrame:
         return rows.withColumn("__shard", F.coalesce("__home", "__start")).drop("__home", "__big")
 
     held = homed(narrow).groupBy("__shard", "__bucket").count()
-    return _evened(homed(keyed if texts else narrow), held, shards, total, scratch)
+    if not texts:
+        return _evened(homed(narrow), held, shards, total, scratch)
+    parts = max(parallelism(docs.sparkSession), 1 + volume // PART_BYTES)
+    return _evened(homed(keyed).repartition(parts, "__shard", "__bucket"), held, shards, total, scratch)
 
 
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
