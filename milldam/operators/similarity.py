@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import linear
+from ..session import released, saved
+from . import neighbours
+
+#: Words of 64 bits in an item's sketch.
+SKETCH = 16
 
 #: A prime above the number of members keeps the linear hashes permutations; a * x stays below 2**63.
 PRIME = 2_147_483_647
@@ -25,32 +30,57 @@ def signatures(members: DataFrame, n: int, seed: int = 7) -> DataFrame:
 
 
 def candidate_pairs(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(a, b), a < b: items that agree in a whole band."""
+    """(a, b), a < b: items that agree in a whole band; each pair comes from the first band that it agrees in."""
     keys = [F.struct(F.lit(i).alias("band"), F.concat_ws(",", *(F.col(f"h{i * rows + j}") for j in range(rows))).alias("key")) for i in range(bands)]
-    banded = signed.select("item", F.explode(F.array(*keys)).alias("k")).select("item", "k.*")
-    left, right = banded.withColumnRenamed("item", "a"), banded.withColumnRenamed("item", "b")
-    return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    every = F.array(*(F.col(f"h{j}").cast("int") for j in range(bands * rows)))  # below PRIME, so an int holds them
+    banded = signed.select("item", every.alias("h"), F.explode(F.array(*keys)).alias("k")).select("item", "h", "k.*")
+    left, right = banded.withColumnsRenamed({"item": "a", "h": "ha"}), banded.withColumnsRenamed({"item": "b", "h": "hb"})
+    before = F.lit(False)
+    for i in range(bands - 1):
+        same = F.col("band") > i
+        for j in range(i * rows, i * rows + rows):
+            same = same & F.col("ha")[j].eqNullSafe(F.col("hb")[j])
+        before = before | same
+    return left.join(right, ["band", "key"]).where("a < b").where(~before).select("a", "b")
+
+
+def _sketched(members: DataFrame) -> DataFrame:
+    """(item, n, s0..): the number of members (distinct ones), and a bit for each of them."""
+    h = F.pmod(F.xxhash64("member"), F.lit(64 * SKETCH))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(h / 64) == k, bit)), F.lit(0).cast("long")).alias(f"s{k}") for k in range(SKETCH)]
+    return members.groupBy("item").agg(F.count("*").alias("n"), *words)
+
+
+def _may_reach(least: float) -> Column:
+    """Whether the sketches of two items allow the similarity: bits that differ are members that only one of them has."""
+    differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)), F.lit(0))
+    even = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-9
+    return even & (differ <= (F.col("x.n") + F.col("y.n")) * ((1 - least) / (1 + least)) + 1e-9)
+
+
+def _banded(members: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
+    """(a, b), a < b: pairs that agree in a band and may reach ``least`` by their sketches, band by band."""
+    base = saved(signatures(members, bands * rows).join(_sketched(members), "item"), "sketched")
+    out = None
+    for i in range(bands):
+        agree = F.col("x.item") < F.col("y.item")
+        for j in range(i * rows, i * rows + rows):
+            agree = agree & (F.col(f"x.h{j}") == F.col(f"y.h{j}"))
+        met = base.alias("x").join(base.alias("y"), agree & _may_reach(least))
+        met = saved(met.select(F.col("x.item").alias("a"), F.col("y.item").alias("b")), f"band{i}")
+        out = met if out is None else out.unionByName(met)
+        released(base.sparkSession)
+    return out.distinct()
 
 
 def jaccard(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach ``least``: shared members over all members."""
-    sizes = members.groupBy("item").agg(F.countDistinct("member").alias("n"))
-    pairs = _even(pairs, sizes, least)
-    one = members.select(F.col("item").alias("a"), "member").distinct()
-    two = members.select(F.col("item").alias("b"), "member").distinct()
-    shared = pairs.join(one, "a").join(two, ["b", "member"]).groupBy("a", "b").agg(F.count("*").alias("both"))
-    return _kept(shared, sizes, least)
-
-
-def _even(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """Pairs whose sizes allow the similarity: the smaller has ``least`` of the larger's members."""
-    a, b = sizes.select(F.col("item").alias("a"), F.col("n").alias("na")), sizes.select(F.col("item").alias("b"), F.col("n").alias("nb"))
-    return pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9).select("a", "b")
-
-
-def _kept(shared: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    full = shared.join(sizes.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
-    return full.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least)
+    """(a, b, similarity) of the pairs that reach ``least``: shared members (whole numbers) over all members."""
+    kind = dict(pairs.dtypes)["a"]
+    lists = members.distinct().groupBy("item").agg(F.collect_list(F.col("member").cast("long")).alias("members")).withColumnRenamed("item", "i")
+    pairs = saved(pairs.select(F.col("a").alias("u"), F.col("b").alias("i")), "pairs")
+    own = pairs.unionByName(pairs.select("u", F.col("u").alias("i")).distinct()).select("u", "i", F.lit(0.0).alias("r"), F.lit(False).alias("held"))
+    return neighbours.worked(own, neighbours.packed(lists, {"members": "i8"}), neighbours.jaccard(least), f"a {kind}, b {kind}, similarity double", "alike")
 
 
 def similar_items(members: DataFrame, bands: int, rows: int, least: float, method: str = "jaccard") -> DataFrame:
@@ -59,7 +89,8 @@ def similar_items(members: DataFrame, bands: int, rows: int, least: float, metho
         raise NotImplementedError("cosine similarity is not available")
     if method != "jaccard":
         raise ValueError("method must be jaccard")
-    return jaccard(candidate_pairs(signatures(members, bands * rows), bands, rows), members, least)
+    members = members.distinct()
+    return jaccard(_banded(members, bands, rows, least), members, least)
 
 
 def all_similar_items(members: DataFrame, least: float) -> DataFrame:
