@@ -17,6 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of the driver's heap from which it is collected after a written table.
+HEAP = 400 << 20
+
+
 class Scratch:
     """Named Parquet tables below the shared folder; ``save`` cuts the lineage, ``drop`` frees the disk."""
 
@@ -30,6 +34,8 @@ class Scratch:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
         df.write.parquet(path)
+        if self.spark._jvm.java.lang.Runtime.getRuntime().totalMemory() > HEAP:
+            self.spark._jvm.System.gc()  # a driver's heap that has grown over many plans gives memory back
         out = self.spark.read.schema(df.schema).parquet(path)
         out.milldam_path = path
         self.paths.add(path)
