@@ -1,4 +1,4 @@
-"""What the trained operators share: bounded labelled samples and scoring in place."""
+"""What the trained operators share: labelled rows (all, or a bounded sample), sums over workers and scoring in place."""
 
 from __future__ import annotations
 
@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 #: Labelled rows of each class that a classifier is fitted on, and the characters that each gives from its start.
 SAMPLE_PER_CLASS = 2_000
 SAMPLE_CHARS = 16_000
+#: Labelled ids that may be broadcast to the documents.
+BROADCAST_LABELS = 1_000_000
+#: Numbers of an array that are summed over all workers in one place.
+SLICE = 1 << 15
+PARTS = "name string, slice int, worker long, part binary"
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -20,6 +25,50 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+def _known(labels: DataFrame, column: str, modulus: int, held: int) -> DataFrame:
+    """(id, y) of the ids outside the held-out fold; labels other than 0 and 1, and ids labelled both ways, are left out."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id")
+    known = known.agg(F.min(column).alias("y"), F.max(column).alias("z")).where("y = z").select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"))
+    return known.where(fold(F.col("id"), modulus) != held)
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int) -> DataFrame:
+    """(id, y, lang, text) of every labelled row outside the held-out fold, with its whole text; a null one counts as empty.
+
+    Rows that agree in all of these count once. See _known for the labels.
+    """
+    known = _known(labels, column, modulus, held)
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
+    rows = docs.where(fold(F.col("doc_id"), modulus) != held)
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(known, F.col("doc_id") == F.col("id")).select("id", "y", "lang", "text").distinct()
+
+
+def sliced(arrays: dict[str, np.ndarray], worker: int) -> pa.Table:
+    """The arrays of one worker as rows of PARTS."""
+    rows = [(k, i // SLICE, x.ravel()[i : i + SLICE]) for k, x in arrays.items() for i in range(0, x.size, SLICE)]
+    columns = [pa.array([k for k, *_ in rows], pa.string()), pa.array([i for _, i, _ in rows], pa.int32())]
+    columns += [pa.array([worker] * len(rows), pa.int64()), pa.array([x.astype(np.float64).tobytes() for *_, x in rows], pa.binary())]
+    return pa.Table.from_arrays(columns, names=["name", "slice", "worker", "part"])
+
+
+def summed(parts: DataFrame) -> dict[str, np.ndarray]:
+    """The sums of all workers' arrays by name, added in the order of the workers."""
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("worker")
+        total = np.zeros(len(table["part"][0].as_py()) // 8)
+        for part in table["part"]:
+            total += np.frombuffer(part.as_buffer(), np.float64)
+        return pa.table({"name": table["name"][:1], "slice": table["slice"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    found: dict[str, list[np.ndarray]] = {}
+    for r in sorted(parts.groupBy("name", "slice").applyInArrow(add, "name string, slice int, part binary").collect(), key=lambda r: r["slice"]):
+        found.setdefault(r["name"], []).append(np.frombuffer(r["part"], np.float64))
+    return {k: np.concatenate(x) for k, x in found.items()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[str, int]]:
     """(text, label) of at most ``per_class`` rows of each label outside the held-out fold.
 
@@ -27,9 +76,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     left out for its length: a long text gives its first SAMPLE_CHARS characters, a null one counts as
     empty. Labels other than 0 and 1, and ids labelled both ways, are left out.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id")
-    known = known.agg(F.min(column).alias("y"), F.max(column).alias("z")).where("y = z").select(F.col("doc_id").alias("id"), "y")
-    known = known.where(fold(F.col("id"), modulus) != held)
+    known = _known(labels, column, modulus, held)
     order = F.xxhash64("id", F.lit(column))
     some = [known.where(F.col("y") == y).orderBy(order, "id").limit(per_class) for y in (0, 1)]
     some = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * per_class rows of two numbers

@@ -229,3 +229,106 @@ def test_words_of_arrow_slices():
     data, ends = textops.utf8(column)
     h, at, _ = textops.words(data, ends)
     assert at.tolist() == [0, 0, 3, 3, 4] and h[2] == h[3] and h[0] != h[2]
+
+
+def test_every_labelled_row_teaches_toxicity(spark, monkeypatch):
+    """Each labelled row outside the fold reaches the weights or the thresholds once, to its last word, in one shard or many."""
+    r, tail = random.Random(12), "q " * learning.SAMPLE_CHARS
+    rows = [(i, prose(r, 2) + " " + (tail if i % 40 == 0 else "") + f"word{i}", "en", "s", 1) for i in range(2 * learning.SAMPLE_PER_CLASS + 1600)]
+    marks = [(i, 1, int(i % 7 == 0)) for i, *_ in rows]
+    docs = frame(spark, rows + rows[:9], clash=True)
+    want = sorted((i, t, text) for (i, text, *_), (*_, t) in zip(rows, marks) if crc(i, 5) != 0)
+    for limit in (learning.BROADCAST_LABELS, 0):
+        monkeypatch.setattr(learning, "BROADCAST_LABELS", limit)
+        got = learning.labelled_rows(docs, labels(spark, marks), "toxic", 5, 0).collect()
+        assert sorted((x["id"], x["y"], x["text"]) for x in got) == want
+    assert len(want) > 2 * learning.SAMPLE_PER_CLASS and sum(1 - t for _, t, _ in want) > learning.SAMPLE_PER_CLASS
+    taught, judged = [], []
+    trained, thresholds = toxicity._trained, toxicity._set_thresholds
+    monkeypatch.setattr(toxicity, "_trained", lambda x, *rest: (taught.append(sorted(t["text"] for t in x.collect())), trained(x, *rest)))
+    monkeypatch.setattr(toxicity, "_set_thresholds", lambda x, model: (judged.extend(t["text"] for t in x.collect()), thresholds(x, model)))
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    for rows_of_shard in (1 << 20, 900):
+        taught.clear(), judged.clear()
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", rows_of_shard)
+        assert toxicity.fitted(docs, labels(spark, marks)).ready
+        assert sorted([*taught[-1], *judged]) == sorted(text for *_, text in want)
+
+
+def test_toxicity_in_shards(spark, monkeypatch):
+    """Workers of many shards, joined, tell held-out rows apart; a second run gives the same scores."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 400)
+    rows, marks = scored_rows(2500)
+    got = toxicity.scored(frame(spark, rows), labels(spark, marks)).collect()
+    assert held_out(got, marks, 2, 5, 0)[0] > 0.9
+    again = toxicity.scored(frame(spark, rows[::-1]).repartition(7), labels(spark, marks)).collect()
+    assert {x["doc_id"]: x["score"] for x in got} == {x["doc_id"]: x["score"] for x in again}
+
+
+def test_joined_workers():
+    """Filters join by rows; an embedding that one worker moved moves as far as there."""
+    start = toxicity.ToxicityModel()
+    parts = []
+    for rows, bucket, by in ((30, 5, 1.0), (10, 6, -2.0)):
+        m = toxicity.ToxicityModel()
+        m.embed[bucket] += by
+        m.seen[bucket] += 0.5
+        m.embed[9] += by
+        m.seen[9] += 0.25 * rows / 10
+        m.out += by
+        m.dense.t = 8
+        parts.append(m.changes(start, rows))
+    joined = toxicity.ToxicityModel()
+    joined.join({k: sum(p[k].astype(float) for p in parts) for k in parts[0]})
+    assert np.allclose(joined.embed[[5, 6, 7]], start.embed[[5, 6, 7]] + np.array([[1.0], [-2.0], [0.0]]), atol=1e-5)
+    assert np.allclose(joined.embed[9], start.embed[9] + (0.75 - 2 * 0.25), atol=1e-5)
+    assert np.allclose(joined.out, start.out + (30 * 1.0 - 10 * 2.0) / 40, atol=1e-5)
+    assert np.allclose(joined.seen[[5, 9]], [0.5, 1.0], atol=1e-5) and joined.dense.t == 8
+
+
+def test_steps_in_pieces(monkeypatch):
+    """A batch of training whose texts are cut into pieces learns what it learns from whole ones."""
+    r = random.Random(13)
+    docs = toxicity.texts_ids(pa.array([prose(r, n) for n in (1, 0, 90, 33, 7)]))
+    y, models = np.array([1, 0, 1, 0, 1], dtype=np.float32), []
+    for places in (toxicity.PLACES, 16):
+        monkeypatch.setattr(toxicity, "PLACES", places)
+        models.append(toxicity.ToxicityModel())
+        models[-1].train(docs, y, np.ones(5), 3, 0)
+    assert not np.allclose(models[0].out, toxicity.ToxicityModel().out)
+    for a, b in ((models[0].embed, models[1].embed), (models[0].out, models[1].out), *zip(models[0].filters, models[1].filters)):
+        assert np.allclose(a, b, atol=1e-5)
+
+
+def test_neighbours_change_nothing():
+    """A text scores the same alone and between others, to the bit."""
+    r = random.Random(16)
+    texts = [prose(r, n) for n in (1, 2, 0, 3, 40, 1, 2)]
+    model = toxicity.ToxicityModel()
+    model.ready = True
+    together = model(pa.array(texts))["score"]
+    assert together.tolist() == [model(pa.array([t]))["score"][0] for t in texts] and len(set(together)) == len(texts)
+
+
+def test_thresholds_equal_plain():
+    """A threshold has the least sum of both labels' error shares, by trying all."""
+    r = random.Random(14)
+    cells = {r.randint(-900, 900): (r.randint(0, 4), r.randint(0, 3)) for _ in range(200)}
+    n, p = (sum(x[k] for x in cells.values()) for k in (0, 1))
+    cost = lambda cut: sum(b for c, (_, b) in cells.items() if c / toxicity.CELLS < cut) / p + sum(a for c, (a, _) in cells.items() if c / toxicity.CELLS >= cut) / n
+    assert cost(toxicity._cut(cells)) == pytest.approx(min(cost((c + 0.5) / toxicity.CELLS) for c in range(-902, 902)))
+    assert toxicity._cut({3: (2, 0)}) == 0.0
+
+
+def test_language_words():
+    """Languages are told by plain sums of log frequencies; texts without words by none."""
+    r = random.Random(15)
+    texts = [prose(r, 300), prose(r, 300, "x"), prose(r, 40, "é")]
+    count = [np.sum([np.bincount(row, minlength=toxicity.BUCKETS) for row in ids], axis=0) for ids in toxicity.texts_ids(pa.array(texts))]
+    model = toxicity.LanguageWords(["a", "b", None], np.array(count))
+    data, ends = textops.utf8(pa.array([texts[0][:50], "12 xab", "", "é", texts[1][-60:], None]))
+    ids, at = toxicity.word_ids(data, ends)
+    told = model.tell(ids, at)
+    assert told[[0, 2, 4, 5]].tolist() == [0, -1, 1, -1]
+    for k in (0, 1, 3, 4):
+        assert model.table[ids[:, at[k] : at[k + 1]]].sum(axis=(0, 1)).argmax() == told[k]
