@@ -255,6 +255,14 @@ def test_every_labelled_row_teaches_toxicity(spark, monkeypatch):
         assert sorted([*taught[-1], *judged]) == sorted(text for *_, text in want)
 
 
+def test_toxicity_after_long_beginnings(spark):
+    """What tells the labels apart may stand beyond the characters that a sample takes."""
+    rows, marks = scored_rows(600)
+    rows = [(i, "q" * learning.SAMPLE_CHARS + " " + text, *rest) for i, text, *rest in rows]
+    got = toxicity.scored(frame(spark, rows), labels(spark, marks)).collect()
+    assert held_out(got, marks, 2, 5, 0)[0] > 0.9
+
+
 def test_toxicity_in_shards(spark, monkeypatch):
     """Workers of many shards, joined, tell held-out rows apart; a second run gives the same scores."""
     monkeypatch.setattr(toxicity, "SHARD_ROWS", 400)
