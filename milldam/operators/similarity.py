@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import linear
 from ..session import released, saved
-from . import neighbours
+from . import cells, neighbours
 
 #: Words of 64 bits in an item's sketch.
 SKETCH = 16
@@ -29,19 +29,16 @@ def signatures(members: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return members.groupBy("item").agg(*(F.min(linear(F.col("member"), a, b, PRIME)).alias(f"h{j}") for j, (a, b) in enumerate(family)))
 
 
+def _banded_rows(signed: DataFrame, bands: int, rows: int, *more: str) -> DataFrame:
+    """(band, cell, item, h, ..): a row for each band; items without members have no hashes and drop out."""
+    every = F.array(*(F.col(f"h{j}").cast("int") for j in range(bands * rows))).alias("h")  # below PRIME, so an int holds them
+    keys = [F.struct(F.lit(i).alias("band"), F.xxhash64(*(F.col(f"h{i * rows + j}") for j in range(rows))).alias("cell")) for i in range(bands)]
+    return signed.where("h0 is not null").select("item", every, *more, F.explode(F.array(*keys)).alias("k")).select("k.*", "item", "h", *more)
+
+
 def candidate_pairs(signed: DataFrame, bands: int, rows: int) -> DataFrame:
     """(a, b), a < b: items that agree in a whole band; each pair comes from the first band that it agrees in."""
-    keys = [F.struct(F.lit(i).alias("band"), F.concat_ws(",", *(F.col(f"h{i * rows + j}") for j in range(rows))).alias("key")) for i in range(bands)]
-    every = F.array(*(F.col(f"h{j}").cast("int") for j in range(bands * rows)))  # below PRIME, so an int holds them
-    banded = signed.select("item", every.alias("h"), F.explode(F.array(*keys)).alias("k")).select("item", "h", "k.*")
-    left, right = banded.withColumnsRenamed({"item": "a", "h": "ha"}), banded.withColumnsRenamed({"item": "b", "h": "hb"})
-    before = F.lit(False)
-    for i in range(bands - 1):
-        same = F.col("band") > i
-        for j in range(i * rows, i * rows + rows):
-            same = same & F.col("ha")[j].eqNullSafe(F.col("hb")[j])
-        before = before | same
-    return left.join(right, ["band", "key"]).where("a < b").where(~before).select("a", "b")
+    return cells.pairs(_banded_rows(signed, bands, rows), cells.first_band(rows))
 
 
 def _sketched(members: DataFrame) -> DataFrame:
