@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved
+from . import neighbours
 
 #: Rows of a cell beyond which it is dealt into blocks; each goes to a task with the rows of the blocks after it.
 CELL_ROWS = 4_096
@@ -24,7 +25,7 @@ Test = Callable[[dict[str, pa.Array]], Callable[[np.ndarray, np.ndarray, int], n
 
 
 def pairs(rows: DataFrame, test: Test) -> DataFrame:
-    """(a, b), a < b: items of ``rows`` (band, cell, item, ..) that share a band and cell and pass the test.
+    """(a, b, cell), a < b: items of ``rows`` (band, cell, item, ..) that share a band and cell and pass the test.
 
     An item has one row at most in a cell; a pair comes once for every cell in which it passes.
     """
@@ -70,10 +71,10 @@ def pairs(rows: DataFrame, test: Test) -> DataFrame:
             i, j = i[some], j[some]
             turned = rank[i] > rank[j]
             a, b = np.where(turned, j, i), np.where(turned, i, j)
-            yield pa.RecordBatch.from_arrays([items.take(pa.array(a)), items.take(pa.array(b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([items.take(pa.array(a)), items.take(pa.array(b)), pa.array(place["cell"][i])], names=["a", "b", "cell"])
 
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-total // TASK_PAIRS)))
-    return dealt.repartition(tasks, "band", "cell", "unit").mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.repartition(tasks, "band", "cell", "unit").mapInArrow(run, f"a {kind}, b {kind}, cell long")
 
 
 def matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -108,7 +109,7 @@ def may_reach(least: float) -> Test:
     """Pairs whose sizes n and sketches s allow the similarity: bits that differ are members that only one of them has."""
 
     def prepare(columns: dict[str, pa.Array]) -> Callable:
-        n, s = columns["n"].to_numpy().astype(float), np.ascontiguousarray(matrix(columns["s"], np.int64)).view(np.uint64)
+        n, s = columns["n"].to_numpy().astype(float), neighbours.values(columns["s"], "u8")[0].reshape(len(columns["s"]), -1)
         words = [np.ascontiguousarray(s[:, k : k + 4]) for k in range(0, s.shape[1], 4)]
 
         def keep(i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:

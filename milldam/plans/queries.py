@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_number
+from ..functions.text import word_set
 from ..operators import explore, graph, itemsets, recommend, similarity
 from ..session import saved, shared_dir, table
 from ..sources import sinks
@@ -158,6 +159,11 @@ def _word_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.document_words(spark, sf_dir).select("item", digest_number(F.col("word")).alias("member"))
 
 
+def _word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return documents.select(F.col("doc_id").alias("item"), F.transform(word_set(F.col("text")), digest_number).alias("members"))
+
+
 @query
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.signatures(_word_members(spark, sf_dir), BANDS * ROWS)
@@ -174,15 +180,13 @@ def lsh_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lsh_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = saved(_word_members(spark, sf_dir), "members")
-    out = similarity.similar_items(members, BANDS, ROWS, 0.5)
+    out = similarity.similar_items(_word_lists(spark, sf_dir), BANDS, ROWS, 0.5)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
 @query
 def exact_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = saved(_word_members(spark, sf_dir), "members")
-    return similarity.all_similar_items(members, 0.8).withColumn("similarity", F.round("similarity", 6))
+    return similarity.all_similar_items(_word_lists(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 # -- recommenders --------------------------------------------------------------------------------
