@@ -184,7 +184,8 @@ def all_similar_items(members: DataFrame, least: float) -> DataFrame:
     slices = max(-(-(prefixes.agg(F.sum(F.size("first"))).first()[0] or 0) // PREFIX_ROWS), 1)
     for k in range(slices):
         rows = prefixes.select(F.lit(0).alias("band"), F.explode("first").alias("cell"), "item", "n", "s")
-        part = saved(cells.pairs(rows.where(F.pmod(F.xxhash64("cell"), F.lit(slices)) == k), cells.may_reach(least)), "met")
+        found = cells.pairs(rows.where(F.pmod(F.xxhash64("cell"), F.lit(slices)) == k), cells.may_reach(least))
+        part = saved(found.groupBy("a", "b").agg(F.min("cell").alias("cell")), "met")
         met = part if met is None else met.unionByName(part)
         released(lists.sparkSession)
     return jaccard(saved(met.groupBy("a", "b").agg(F.min("cell").alias("cell")), "pairs"), lists, least)
